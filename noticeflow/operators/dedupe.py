@@ -5,30 +5,33 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.chars import text_or_empty
 from ..session import shared_dir
 
 
-def null_safe(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[c]) for c in cols])
+def _firsts(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """Smallest ``order`` per key; a map-side partial minimum on narrow rows."""
+    return df.groupBy(*keys).agg(F.min(order).alias(order))
+
+
+def _pick(df: DataFrame, chosen: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    named = chosen.select(*[F.col(c).alias(f"_w_{c}") for c in (*keys, order)])
+    on = reduce(lambda a, b: a & b,
+                [df[c].eqNullSafe(named[f"_w_{c}"]) for c in keys]
+                + [df[order] == named[f"_w_{order}"]])
+    return df.join(named, on, "left_semi")
 
 
 def dedupe_first(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """Keep the row with the smallest ``order`` per key.
 
-    Only keys and order are aggregated, with a map-side partial minimum, so a
-    key that holds a third of all rows costs one row per map task. The wide
-    rows are then picked by (key, order), which spreads a hot key evenly
-    because ``order`` is unique within a key.
+    Only keys and order are aggregated, so a key that holds a third of all
+    rows costs one row per map task. The wide rows are then picked by (key,
+    order), which spreads a hot key evenly: ``order`` is unique within a key.
     """
-    winners = df.groupBy(*keys).agg(F.min(order).alias(order))
-    winners = winners.select(*[F.col(c).alias(f"_w_{c}") for c in (*keys, order)])
-    on = reduce(lambda a, b: a & b,
-                [df[c].eqNullSafe(winners[f"_w_{c}"]) for c in keys]
-                + [df[order] == winners[f"_w_{order}"]])
-    return df.join(winners, on, "left_semi")
+    return _pick(df, _firsts(df, keys, order), keys, order)
 
 
 def unseen(df: DataFrame, stored: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -37,8 +40,12 @@ def unseen(df: DataFrame, stored: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def insert_or_ignore(old: DataFrame, new: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """Rows of ``new`` to append: unseen keys, the first row of each."""
-    return dedupe_first(unseen(new, old, keys), keys, order)
+    """Rows of ``new`` to append: unseen keys, the first row of each.
+
+    Both decisions are made on (key, order) alone; wide rows move once.
+    """
+    fresh = unseen(_firsts(new, keys, order), old, keys)
+    return _pick(new, fresh, keys, order)
 
 
 def distinct_rows(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Observation, functions as F
 from ..functions.chars import first_filled, strip
 from ..functions.text import clean_announcement, clean_url, publish_day
 from ..operators.cards import card_id, merge_cards, new_mentions
-from ..operators.dedupe import dedupe_first, unseen
+from ..operators.dedupe import insert_or_ignore
 from ..operators.generic_pages import page_text
 from ..operators.html_blocks import html_blocks
 from ..operators.refused import refused
@@ -46,7 +46,7 @@ def prepared(pages: DataFrame) -> DataFrame:
 
 def new_pages(pages: DataFrame, stored: DataFrame) -> DataFrame:
     """First page of every unknown url. Known pages drop out before parsing."""
-    return unseen(dedupe_first(prepared(pages), ["url"], "ingest_seq"), stored, ["url"])
+    return insert_or_ignore(stored, prepared(pages), ["url"], "ingest_seq")
 
 
 def refused_page() -> Column:
@@ -116,10 +116,8 @@ def ingest(pages: DataFrame, state: State, batch: int | None = None,
     old_announcements, old_cards, old_mentions = (
         state.announcements(), state.cards(), state.mentions())
 
-    seen, parsed = Observation(), Observation()
-    counted = pages.observe(seen, F.count(F.lit(1)).alias("pages"))
-    fresh = new_pages(counted, old_announcements)
-    blocks = html_blocks(fresh).withColumn("_refused", refused_page()).observe(
+    parsed = Observation()
+    blocks = html_blocks(new_pages(pages, old_announcements)).withColumn("_refused", refused_page()).observe(
         parsed, F.count(F.lit(1)).alias("fresh"),
         F.count_if(F.col("_refused")).alias("refused"))
     flat = notices(blocks.filter(~F.col("_refused")).drop("_refused"), fill_gaps)
@@ -137,7 +135,7 @@ def ingest(pages: DataFrame, state: State, batch: int | None = None,
         state.stage("winners", batch, winners_of(candidates))
     state.commit(batch)
 
-    fresh_count, refused_count = parsed.get["fresh"], parsed.get["refused"]
-    return Ingested(pages=seen.get["pages"], new_notices=fresh_count - refused_count,
-                    skipped=seen.get["pages"] - fresh_count, refused=refused_count,
+    n_pages, n_fresh, n_refused = pages.count(), parsed.get["fresh"], parsed.get["refused"]
+    return Ingested(pages=n_pages, new_notices=n_fresh - n_refused,
+                    skipped=n_pages - n_fresh, refused=n_refused,
                     card_writes=kept.count())
