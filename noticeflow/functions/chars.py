@@ -8,7 +8,9 @@ whole Unicode white-space set plus U+001C..U+001F.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import wraps
 
+from pyspark import SparkContext
 from pyspark.sql import Column, functions as F
 
 # The characters that count as white space.
@@ -43,6 +45,24 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
 
 
+def built_once(make: Callable[[], Column]) -> Callable[[], Column]:
+    """Build a large argument-free expression once per Spark application.
+
+    Describing it takes thousands of calls to the JVM, which a streaming job
+    would repeat for every micro-batch.
+    """
+    made: dict[int, Column] = {}
+
+    @wraps(make)
+    def cached() -> Column:
+        app = id(SparkContext._active_spark_context)
+        if app not in made:
+            made.clear()
+            made[app] = make()
+        return made[app]
+    return cached
+
+
 def none_if_empty(col: Column) -> Column:
     return F.when(col != "", col)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.chars import first, let, none_if_empty, strip, text_or_empty
+from ..functions.chars import built_once, first, let, none_if_empty, strip, text_or_empty
 from ..functions.contact import EMAIL, MOBILE
 from ..functions.text import DATE_SHAPES, NO_TITLE, find_date, parse_list_info
 from ..functions.urls import absolute_url, join_url, url_parts
@@ -27,6 +27,7 @@ def page_text(sep: str = "\n", all_text: bool = False) -> Column:
     return F.array_join(runs["s"], sep)
 
 
+@built_once
 def page_title() -> Column:
     """First h1, h2, title or title-like element whose text is long enough."""
     def candidate(pred: dom.Predicate) -> Column:
@@ -38,6 +39,7 @@ def page_title() -> Column:
                       candidate(dom.class_like("title|heading")), F.lit(NO_TITLE))
 
 
+@built_once
 def page_content() -> Column:
     """Text of the main container, one run per line; the body when there is none."""
     shown = dom.visible(dom.els())
@@ -51,6 +53,7 @@ def page_content() -> Column:
     return text_or_empty(let(box, lambda b: F.array_join(dom.visible(dom.runs_of(b))["s"], "\n")))
 
 
+@built_once
 def page_date() -> Column:
     return find_date(dom.raw_text(dom.visible(F.col("texts"))))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.chars import (first, first_filled, last, let, none_if_empty, split_filled,
+from ..functions.chars import (built_once, first, first_filled, last, let, none_if_empty, split_filled,
                                strip, text_or_empty)
 from ..functions.contact import expand_phones, first_phone, names_of_line, split_contact
 from ..functions.text import after_last_colon
@@ -28,15 +28,18 @@ def _or_empty_list(arr: Column, element: str) -> Column:
     return F.coalesce(arr, F.array().cast(f"array<{element}>"))
 
 
+@built_once
 def detail_div() -> Column:
     return dom.find(dom.els(), dom.both(dom.tag_is("div"), dom.has_class("vF_detail_content")))
 
 
+@built_once
 def full_text() -> Column:
     """Text of the detail container, one run per line."""
     return text_or_empty(let(detail_div(), lambda d: dom.text_of(d, "\n")))
 
 
+@built_once
 def notice_meta() -> Column:
     """struct<title, publish_date> from meta tags, else from the page."""
     def meta(name: str) -> Column:
@@ -88,6 +91,7 @@ def _carried(lines: Column, opens) -> Column:
     return let(heads, cut)
 
 
+@built_once
 def notice_sections() -> Column:
     """Sections of the detail text by their headings."""
     paragraphs = let(detail_div(), lambda d: F.transform(
@@ -178,6 +182,7 @@ def _row_kind(key: Column) -> Column:
             .when(key.contains("项目联系电话"), F.lit("project_phone")))
 
 
+@built_once
 def table_contacts() -> Column:
     """struct<buyer, agent, project> from the first two cells of each summary row."""
     def row(tr: Column) -> Column:
@@ -249,6 +254,7 @@ def _side_line(text: Column) -> Column:
             .when(text.contains("联系人"), F.lit("person")))
 
 
+@built_once
 def text_contacts() -> Column:
     """struct<buyer, agent, project> from the paragraphs of the detail text."""
     paragraphs = let(detail_div(), lambda d: F.transform(
@@ -383,6 +389,11 @@ def without_experts(contacts: Column, experts: Column) -> Column:
                     contacts["project"].alias("project"))
 
 
+@built_once
+def _summary() -> Column:
+    return summary_fields(F.col("_pairs"))
+
+
 def parsed_notices(blocks: DataFrame, fill_gaps: bool = False) -> DataFrame:
     """Page columns plus meta, summary, sections, contacts and content."""
     kept = dom.other_columns(blocks)
@@ -398,5 +409,5 @@ def parsed_notices(blocks: DataFrame, fill_gaps: bool = False) -> DataFrame:
     merged = read.withColumn("_contacts", merged_contacts(
         F.col("_has_text"), F.col("_from_text"), F.col("_from_table"), fill_gaps))
     return merged.select(
-        *kept, "meta", summary_fields(F.col("_pairs")).alias("summary"), "sections",
+        *kept, "meta", _summary().alias("summary"), "sections",
         without_experts(F.col("_contacts"), F.col("sections.experts")).alias("contacts"), "content")

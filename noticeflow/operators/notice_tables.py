@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.chars import first, last, let, text_or_empty
+from ..functions.chars import built_once, first, last, let, text_or_empty
 from . import dom
 
 # Label -> (category, field), in matching order.
@@ -56,6 +56,7 @@ def summary_div() -> Column:
     return dom.find(dom.els(), dom.both(dom.tag_is("div"), dom.has_class("table")))
 
 
+@built_once
 def summary_table() -> Column:
     """Element of the first table in the first div of class 'table', or null."""
     return let(summary_div(), lambda d: dom.find(dom.inside(d), dom.tag_is("table")))
@@ -110,6 +111,7 @@ def table_profile(blocks: DataFrame) -> DataFrame:
                         .otherwise("simple")))
 
 
+@built_once
 def key_values() -> Column:
     """Key/value pairs of the summary table, row by row: array<struct<key,value>>."""
     grid = let(summary_table(), lambda t: first(
@@ -140,16 +142,19 @@ def key_values() -> Column:
                       F.array().cast("array<struct<key:string,value:string>>"))
 
 
+# The labels as one constant: array<struct<label, field>>.
+_RULES = "array(" + ", ".join(
+    f"struct('{label}' AS label, '{_key(category, field)}' AS field)"
+    for label, category, field in FIELD_LABELS) + ")"
+
+
 def field_of(key: Column) -> Column:
     """'category.field' of a label: exact match, else the first label in order
     where either text contains the other; null when none does (X5)."""
-    exact = F.lit(None).cast("string")
-    for label, category, field in FIELD_LABELS:
-        exact = F.coalesce(exact, F.when(key == label, F.lit(_key(category, field))))
-    loose = F.coalesce(*[
-        F.when(key.contains(label) | F.lit(label).contains(key), F.lit(_key(category, field)))
-        for label, category, field in FIELD_LABELS])
-    return F.coalesce(exact, loose)
+    rules = F.expr(_RULES)
+    exact = F.filter(rules, lambda r: r["label"] == key)
+    loose = F.filter(rules, lambda r: key.contains(r["label"]) | r["label"].contains(key))
+    return F.coalesce(first(exact)["field"], first(loose)["field"])
 
 
 def summary_fields(pairs: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.chars import first, first_filled, let, split_filled, strip, text_or_empty
+from ..functions.chars import built_once, first, first_filled, let, split_filled, strip, text_or_empty
 from ..functions.contact import (clean_company, clean_contact_names, clean_emails, clean_phones,
                                  contact_role, format_phones, project_owner, simple_phones,
                                  split_phone_list)
@@ -77,6 +77,7 @@ def _as_emails(email: Column) -> Column:
     return F.filter(F.array(email), lambda e: e != "")
 
 
+@built_once
 def notice_candidates() -> Column:
     """All card candidates of a flat notice, in order: array of CANDIDATE.
 
