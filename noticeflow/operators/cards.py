@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.chars import like_text, strip, text_or_empty
+from .sizing import broadcast_if_small, settled
 
 # Company cells that only point elsewhere.
 PLACEHOLDER_COMPANIES = ("%详见%正文%", "%见公告%", "%见附件%")
@@ -94,63 +95,71 @@ def exported_cards(c: DataFrame, m: DataFrame, q: str = "") -> DataFrame:
 
 # ---------------------------------------------------------------- card list
 
-def _hits(c: DataFrame, m: DataFrame, a: DataFrame | None, q: str, role: str, province: str
-          ) -> DataFrame:
-    """Narrow card rows with the announcements that pass the filters.
+KEY = ["company", "contact_name"]
 
-    Without role and province cards with no mention stay in, with a null
-    announcement. Announcements are read only when a province is asked for.
-    """
-    cards = c.filter(card_matches(q)).select("id", "company", "contact_name", "created_at",
-                                             "updated_at")
+
+def _page_order() -> list[Column]:
+    return [F.desc_nulls_last("updated_at"), *[F.asc(k) for k in KEY]]
+
+
+def _listed_mentions(m: DataFrame, a: DataFrame | None, role: str, province: str) -> DataFrame:
+    """Mentions that pass the role and province filters (J3, P15). Announcements
+    are read only when a province is asked for."""
     if role:
         m = m.filter(F.col("role") == role)
-    pairs = pairs_of(m)
     if province:
         found = a.filter(like_text(F.col("title"), province)
                          | like_text(F.col("content"), province))
-        pairs = pairs.join(found.select(F.col("id").alias("announcement_id")),
-                           "announcement_id", "left_semi")
-    how = "inner" if role or province else "left"
-    return cards.join(pairs, cards["id"] == pairs["business_card_id"], how)
+        m = m.join(found.select(F.col("id").alias("announcement_id")), "announcement_id",
+                   "left_semi")
+    return m
+
+
+def _listed_cards(c: DataFrame, m: DataFrame, a: DataFrame | None, q: str, role: str,
+                  province: str) -> DataFrame:
+    """Cards that pass the filters (J1, J2, P14). With a role or province a card
+    needs a mention that passes; its id is all that is shuffled for that."""
+    cards = c.filter(card_matches(q))
+    if not role and not province:
+        return cards
+    ids = (_listed_mentions(m, a, role, province)
+           .select(F.col("business_card_id").alias("id")).distinct())
+    return cards.join(ids, "id", "left_semi")
 
 
 def card_list(c: DataFrame, m: DataFrame, a: DataFrame | None = None, q: str = "",
               role: str = "", province: str = "", limit: int = 50, offset: int = 0) -> DataFrame:
     """One row per (company, contact), recently updated first.
 
-    Counting and paging work on narrow rows. Phones and e-mails are fetched
-    for the rows of the page only; the page holds at most ``limit`` rows, which
-    bounds what is broadcast.
+    The order depends on cards alone, so the page is cut first, on narrow
+    card rows. Mentions are then counted, and phones and e-mails fetched, for
+    the cards of the page only: one pass over the mentions without shuffling
+    those of other cards.
     """
-    key = ["company", "contact_name"]
-    page = (_hits(c, m, a, q, role, province).groupBy(*key)
-            .agg(F.max("id").alias("id"), F.max("created_at").alias("created_at"),
-                 F.max("updated_at").alias("updated_at"),
-                 F.countDistinct("announcement_id").alias("projects_count"))
-            .orderBy(F.desc_nulls_last("updated_at"), *[F.asc(k) for k in key])
-            .offset(offset).limit(limit))
-    details = c.select(*key, "phones", "emails")
-    wanted = F.broadcast(page) if limit <= 10_000 else page
-    merged = F.array_sort(F.array_distinct(F.flatten(F.collect_list("phones"))))
-    mails = F.array_sort(F.array_distinct(F.flatten(F.collect_list("emails"))))
-    return (details.join(wanted, key)
-            .groupBy(*key, "id", "created_at", "updated_at", "projects_count")
-            .agg(F.array_join(merged, ", ").alias("phones"),
-                 F.array_join(mails, ", ").alias("emails"))
-            .select("id", *key, "phones", "emails", "created_at", "updated_at", "projects_count")
-            .orderBy(F.desc_nulls_last("updated_at"), *[F.asc(k) for k in key]))
+    listed = _listed_cards(c, m, a, q, role, province)
+    page = settled(
+        listed.groupBy(*KEY)
+        .agg(F.max("id").alias("id"), F.max("created_at").alias("created_at"),
+             F.max("updated_at").alias("updated_at"))
+        .orderBy(*_page_order()).offset(offset).limit(limit), limit)
+    on_page = c.select("id", *KEY, "phones", "emails").join(page.select(*KEY), KEY)
+    ids = broadcast_if_small(on_page.select(F.col("id").alias("business_card_id"), *KEY))
+    counts = (_listed_mentions(m.join(ids, "business_card_id"), a, role, province)
+              .groupBy(*KEY).agg(F.countDistinct("announcement_id").alias("projects_count")))
+    values = on_page.groupBy(*KEY).agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("phones")))).alias("phones"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("emails")))).alias("emails"))
+    return (values.join(counts, KEY, "left").join(page, KEY)
+            .select("id", *KEY, F.array_join("phones", ", ").alias("phones"),
+                    F.array_join("emails", ", ").alias("emails"), "created_at", "updated_at",
+                    F.coalesce("projects_count", F.lit(0)).alias("projects_count"))
+            .orderBy(*_page_order()))
 
 
 def card_group_count(c: DataFrame, m: DataFrame, a: DataFrame | None = None, q: str = "",
                      role: str = "", province: str = "") -> DataFrame:
     """Number of (company, contact) groups under the list's filters."""
-    if not role and not province:
-        # A left join neither adds nor drops groups.
-        groups = c.filter(card_matches(q))
-    else:
-        groups = _hits(c, m, a, q, role, province)
-    return (groups.select("company", "contact_name").distinct()
+    return (_listed_cards(c, m, a, q, role, province).select(*KEY).distinct()
             .agg(F.count(F.lit(1)).alias("total")))
 
 
@@ -164,19 +173,22 @@ def mentions_of_card(m: DataFrame, a: DataFrame, card: int) -> DataFrame:
 
 def same_identity(c: DataFrame, card: int) -> DataFrame:
     """All cards with the (company, contact) of the given card."""
-    one = c.filter(F.col("id") == card).select("company", "contact_name").limit(1)
-    return c.join(F.broadcast(one), ["company", "contact_name"], "left_semi")
+    one = c.filter(F.col("id") == card).select(*KEY).limit(1)
+    return c.join(F.broadcast(one), KEY, "left_semi")
 
 
 def card_history(c: DataFrame, m: DataFrame, a: DataFrame, card: int) -> DataFrame:
     """The same over every card of that identity."""
-    cards = same_identity(c, card).select(F.col("id").alias("business_card_id"))
+    cards = broadcast_if_small(same_identity(c, card).select(F.col("id").alias("business_card_id")))
     return _history(m.join(cards, "business_card_id"), a)
 
 
 def _history(wanted: DataFrame, a: DataFrame) -> DataFrame:
+    """One identity's mentions are few next to all announcements: they are
+    broadcast when a count proves it, and announcements are not shuffled."""
     found = a.select(F.col("id").alias("announcement_id"), "title", "url", "source", "publish_date")
-    return (wanted.select("announcement_id", "role").join(found, "announcement_id")
+    narrow = broadcast_if_small(wanted.select("announcement_id", "role"))
+    return (found.join(narrow, "announcement_id")
             .select(F.col("announcement_id").alias("id"), "title", "url", "source",
                     "publish_date", "role")
             .orderBy(F.desc_nulls_last("publish_date"), F.asc("id"), F.asc("role")))

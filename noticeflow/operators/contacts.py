@@ -23,8 +23,7 @@ def contact_rows(df: DataFrame, announcement_id: str = "announcement_id") -> Dat
     def at_least_one(arr: Column) -> Column:
         return F.when(F.coalesce(F.size(arr), F.lit(0)) > 0, arr).otherwise(F.array(F.lit("")))
 
-    rows = df.filter((F.size("phones") > 0) | (F.size("emails") > 0))
-    rows = rows.withColumn("contact_name", F.explode(at_least_one(F.col("contacts"))))
+    rows = df.withColumn("contact_name", F.explode(at_least_one(F.col("contacts"))))
     rows = rows.withColumn("phone", F.explode(at_least_one(F.col("phones"))))
     rows = rows.withColumn("email", F.explode(at_least_one(F.col("emails"))))
     return (rows.filter(contactable())

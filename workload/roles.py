@@ -104,5 +104,10 @@ def pages(spark: SparkSession, sf: str) -> DataFrame:
     return spread(table(spark, sf, "pages"))
 
 
+def long_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """documents for work that costs much per text."""
+    return spread(table(spark, sf, "documents"))
+
+
 def seconds(col: str) -> Column:
     return F.unix_timestamp(col).alias(col.replace("_at", "_s"))

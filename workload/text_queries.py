@@ -9,7 +9,7 @@ from noticeflow.operators import contacts
 from noticeflow.sources import keywords, search_json
 
 from .registry import query
-from .roles import table, texts
+from .roles import long_texts, table, texts
 
 # The SQL side has its own patterns: RE2 syntax, ASCII digits.
 MOBILE = r"1[3-9][0-9]{9}"
@@ -44,7 +44,7 @@ SELECT id, CASE WHEN length(t) > 500 THEN substr(t, 1, 500) || '...' ELSE t END
 FROM x""")
 def clean_text(spark, sf):
     raw = F.col("text")
-    return table(spark, sf, "documents").select(
+    return long_texts(spark, sf).select(
         F.col("doc_id").alias("id"), text.clean_title(raw).alias("title"),
         text.clean_content(raw).alias("content"), text.short_title(raw).alias("short"),
         text.truncate_detail(raw).alias("detail"))
@@ -110,14 +110,14 @@ def clean_contacts(spark, sf):
 @query("extract_emails", f"""SELECT doc_id, array_to_string(list_sort({EMAILS_SQL}), ',') AS emails
 FROM documents""")
 def extract_emails(spark, sf):
-    return table(spark, sf, "documents").select(
+    return long_texts(spark, sf).select(
         "doc_id", _joined(contact.extract_emails(F.col("text"))).alias("emails"))
 
 
 @query("extract_phones", f"""SELECT doc_id, array_to_string(list_sort({PHONES_SQL}), ',') AS phones
 FROM documents""")
 def extract_phones(spark, sf):
-    return table(spark, sf, "documents").select(
+    return long_texts(spark, sf).select(
         "doc_id", _joined(contact.extract_phones(F.col("text"))).alias("phones"))
 
 
@@ -129,7 +129,7 @@ SELECT doc_id AS announcement_id, '' AS company, '' AS contact_name, phone, emai
 WHERE phone != '' OR email != ''""")
 def contact_rows(spark, sf):
     """Names and companies are Chinese labels the test texts do not hold."""
-    return contacts.contacts_in_text(table(spark, sf, "documents"), "text", "doc_id")
+    return contacts.contacts_in_text(long_texts(spark, sf), "text", "doc_id")
 
 
 NOTES = """n AS (SELECT c_custkey AS id, CASE c_mktsegment
