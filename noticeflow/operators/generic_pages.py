@@ -49,7 +49,7 @@ def page_content() -> Column:
         dom.find(shown, dom.tag_is("article")),
         dom.find(shown, dom.tag_is("main")),
         dom.find(shown, dom.tag_is("body")),
-        dom.els()[0])
+        first(dom.els()))
     return text_or_empty(let(box, lambda b: F.array_join(dom.visible(dom.runs_of(b))["s"], "\n")))
 
 

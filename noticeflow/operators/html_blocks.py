@@ -24,7 +24,7 @@ from html import unescape
 
 import pyarrow as pa
 from pyspark.cloudpickle import register_pickle_by_value
-from pyspark.sql import DataFrame, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 # The parser travels with the task: executors need no copy of this package.
 register_pickle_by_value(sys.modules[__name__])
@@ -293,4 +293,5 @@ def html_blocks(pages: DataFrame, html: str = "html") -> DataFrame:
                     pa.array(tables, type=table_type)],
                 names=kept_names + ["els", "texts", "tables"])
 
-    return pages.select(*kept_names, html).mapInArrow(parse_batches, schema)
+    readable = pages.select(*kept_names, F.make_valid_utf8(html).alias(html))
+    return readable.mapInArrow(parse_batches, schema)

@@ -18,7 +18,7 @@ def read_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
     if fmt == "binary":
         return (spark.read.format("binaryFile").load(path)
                 .select(F.col("path").alias("url"),
-                        F.decode("content", F.lit("UTF-8")).alias("html"),
+                        F.col("content").cast("string").alias("html"),
                         F.col("modificationTime").alias("scraped_at")))
     raise ValueError(f"unknown page format: {fmt}")
 
