@@ -196,31 +196,32 @@ def _history(wanted: DataFrame, a: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- merges
 
-def merge_cards(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Snapshot of cards after merging candidates.
-
-    ``old`` has the card columns, ``new`` company, contact_name, phones, emails
-    and ``seen_at``. Values are reduced to distinct (card, kind, value) rows
-    first, keyed by all three, so a card named in a third of all notices is
-    never gathered in one task as raw rows.
+def combine_cards(rows: DataFrame) -> DataFrame:
+    """Rows with the card columns -> one card per (company, contact_name) (A10).
+
+    Phones and e-mails are united, the first created_at and the last
+    updated_at kept; rows without company or contact drop out. The result
+    does not depend on order, repetition or grouping of the rows. Values are
+    reduced to distinct (card, kind, value) rows first, keyed by all three, so
+    a card named in a third of all notices is never gathered in one task as
+    raw rows.
     """
-    def items(df: DataFrame, created: str, updated: str) -> DataFrame:
-        def tagged(kind: str, arr: Column) -> Column:
-            return F.transform(F.coalesce(arr, F.array()), lambda v: F.struct(
-                F.lit(kind).alias("kind"), v.alias("value")))
-        return df.select(
-            strip(text_or_empty(F.col("company"))).alias("company"),
-            strip(text_or_empty(F.col("contact_name"))).alias("contact_name"),
-            F.explode_outer(F.concat(tagged("p", F.col("phones")), tagged("e", F.col("emails"))))
-            .alias("_i"), F.col(created).alias("created_at"), F.col(updated).alias("updated_at"))
-
-    both = items(old, "created_at", "updated_at").unionByName(items(new, "seen_at", "seen_at"))
+    def tagged(kind: str, arr: Column) -> Column:
+        return F.transform(F.coalesce(arr, F.array()), lambda v: F.struct(
+            F.lit(kind).alias("kind"), v.alias("value")))
+
+    items = rows.select(
+        strip(text_or_empty(F.col("company"))).alias("company"),
+        strip(text_or_empty(F.col("contact_name"))).alias("contact_name"),
+        F.explode_outer(F.concat(tagged("p", F.col("phones")), tagged("e", F.col("emails"))))
+        .alias("_i"), "created_at", "updated_at")
     value = strip(F.col("_i.value"))
-    rows = both.select(
+    distinct = items.select(
         "company", "contact_name", F.col("_i.kind").alias("kind"),
         F.when(F.col("_i.kind") == "e", F.lower(value)).otherwise(value).alias("value"),
-        "created_at", "updated_at").filter((F.col("company") != "") & (F.col("contact_name") != ""))
-    distinct = rows.groupBy("company", "contact_name", "kind", "value").agg(
+        "created_at", "updated_at"
+    ).filter((F.col("company") != "") & (F.col("contact_name") != "")
+             ).groupBy("company", "contact_name", "kind", "value").agg(
         F.min("created_at").alias("created_at"), F.max("updated_at").alias("updated_at"))
 
     def values(kind: str) -> Column:
@@ -234,6 +235,21 @@ def merge_cards(old: DataFrame, new: DataFrame) -> DataFrame:
                          "company", "contact_name", "phones", "emails", "created_at", "updated_at")
 
 
+def seen_cards(candidates: DataFrame, seen_at: Column) -> DataFrame:
+    """Candidates as card rows first and last seen at one time."""
+    return candidates.select("company", "contact_name", "phones", "emails",
+                             seen_at.alias("created_at"), seen_at.alias("updated_at"))
+
+
+def merge_cards(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Cards after merging candidates into a snapshot.
+
+    ``old`` has the card columns, ``new`` company, contact_name, phones, emails
+    and ``seen_at``.
+    """
+    return combine_cards(old.drop("id").unionByName(seen_cards(new, F.col("seen_at"))))
+
+
 def new_mentions(old: DataFrame, new: DataFrame) -> DataFrame:
     """Mentions to append: complete, distinct and not stored."""
     key = ["business_card_id", "announcement_id", "role"]

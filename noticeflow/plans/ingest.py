@@ -5,17 +5,17 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame, Observation, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.chars import first_filled, strip
 from ..functions.text import clean_announcement, clean_url, publish_day
-from ..operators.cards import card_id, merge_cards, new_mentions
+from ..operators.cards import card_id, new_mentions, seen_cards
 from ..operators.dedupe import insert_or_ignore
 from ..operators.generic_pages import page_text
 from ..operators.html_blocks import html_blocks
 from ..operators.refused import refused
 from ..schema import ANNOUNCEMENTS
-from ..sources.state import State
+from ..sources.state import WHOLE_CARDS_EVERY, State
 from .notice import card_candidates, notices
 
 # Fixed value.
@@ -100,42 +100,40 @@ def mentions_of(kept: DataFrame) -> DataFrame:
 
 
 def ingest(pages: DataFrame, state: State, batch: int | None = None,
-           now: datetime | None = None, fill_gaps: bool = False, keep_suppliers: bool = False
-           ) -> Ingested | None:
+           now: datetime | None = None, fill_gaps: bool = False, keep_suppliers: bool = False,
+           whole_cards_every: int = WHOLE_CARDS_EVERY) -> Ingested | None:
     """Run one batch against the stored state and commit it.
 
     Pages are parsed once: the flat notices are written next to the state and
-    announcements, cards and mentions are made from that table. A batch number
-    that is already committed is skipped and gives None.
+    announcements, cards and mentions are made from that table, and the
+    counters read from it. Refused pages stay in it, flagged, as the table of
+    rejects. A batch number that is already committed is skipped and gives None.
     """
     done = state.committed()
     batch = done + 1 if batch is None else batch
     if batch <= done:
         return None
     now = now or datetime.now(timezone.utc).replace(tzinfo=None)
-    old_announcements, old_cards, old_mentions = (
-        state.announcements(), state.cards(), state.mentions())
+    old_announcements, old_mentions = state.announcements(), state.mentions()
 
-    parsed = Observation()
-    blocks = html_blocks(new_pages(pages, old_announcements)).withColumn("_refused", refused_page()).observe(
-        parsed, F.count(F.lit(1)).alias("fresh"),
-        F.count_if(F.col("_refused")).alias("refused"))
-    flat = notices(blocks.filter(~F.col("_refused")).drop("_refused"), fill_gaps)
-    state.stage("notices", batch, flat)
-    flat = state.staged("notices", batch, flat.schema)
+    blocks = html_blocks(new_pages(pages, old_announcements)).withColumn("refused", refused_page())
+    read = notices(blocks, fill_gaps)
+    state.stage("notices", batch, read)
+    read = state.staged("notices", batch, read.schema)
+    flat = read.filter(~F.col("refused"))
 
     state.stage("announcements", batch, announcements_of(flat, now))
     candidates = candidates_of(flat)
     state.stage("candidates", batch, candidates)
     candidates = state.staged("candidates", batch, candidates.schema)
     kept = kept_candidates(candidates)
-    state.stage("cards", batch, merge_cards(old_cards, kept.withColumn("seen_at", F.lit(now))))
+    whole = state.add_cards(batch, seen_cards(kept, F.lit(now)), whole_cards_every)
     state.stage("mentions", batch, new_mentions(old_mentions, mentions_of(kept)))
     if keep_suppliers:
         state.stage("winners", batch, winners_of(candidates))
-    state.commit(batch)
+    state.commit(batch, whole)
 
-    n_pages, n_fresh, n_refused = pages.count(), parsed.get["fresh"], parsed.get["refused"]
-    return Ingested(pages=n_pages, new_notices=n_fresh - n_refused,
-                    skipped=n_pages - n_fresh, refused=n_refused,
-                    card_writes=kept.count())
+    n = read.agg(F.count(F.lit(1)).alias("fresh"), F.count_if("refused").alias("refused")).first()
+    n_pages = pages.count()
+    return Ingested(pages=n_pages, new_notices=n.fresh - n.refused, skipped=n_pages - n.fresh,
+                    refused=n.refused, card_writes=kept.count())

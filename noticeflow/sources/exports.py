@@ -87,8 +87,9 @@ def notice_rows(a: DataFrame, include_details: bool = False) -> DataFrame:
     """Exported columns of filtered notices, newest first."""
     content = [truncate_detail(F.col("content")).alias("content")] if include_details else [
         "source", "url"]
-    return (a.select("publish_date", "title", *content)
-            .orderBy(F.desc_nulls_last("publish_date"), "title"))
+    # The url makes the order total and splits a date with very many notices.
+    return (a.orderBy(F.desc_nulls_last("publish_date"), "title", "url")
+            .select("publish_date", "title", *content))
 
 
 def _headed(df: DataFrame, headings: dict[str, str], *extra: str) -> DataFrame:

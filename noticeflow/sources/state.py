@@ -3,9 +3,14 @@
 A state folder holds
 
 * ``announcements/batch=N`` and ``mentions/batch=N``: rows appended by batch N;
-* ``cards/batch=N``: the whole card table as of batch N;
+* ``card_changes/batch=N``: the cards batch N has seen, as card rows;
+* ``cards/batch=N``: the whole card table as of batch N, written now and then;
 * ``commits``: one row per finished batch, written last.
 
+Cards are read as the last whole table united with the changes after it:
+uniting cards does not depend on order or grouping, so a batch writes what it
+has seen and the whole table is rewritten only every few batches.
+
 Readers look only at committed batches, so a batch that dies half-way is
 invisible and is overwritten when it runs again. A batch is committed once:
 replaying it changes nothing.
@@ -17,9 +22,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from ..operators.cards import combine_cards
 from ..schema import ANNOUNCEMENTS, CARDS, MENTIONS
 
-COMMITS = T.StructType([T.StructField("batch", T.LongType())])
+COMMITS = T.StructType([T.StructField("batch", T.LongType()),
+                        T.StructField("whole_cards", T.BooleanType())])
+WHOLE_CARDS_EVERY = 16
 
 
 @dataclass(frozen=True)
@@ -31,20 +39,24 @@ class State:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
 
-    def committed(self) -> int:
-        """Number of the last committed batch, -1 when there is none."""
+    def _last(self) -> tuple[int, int]:
+        """Numbers of the last committed batch and of the last with whole cards, or -1."""
         if not self._exists("commits"):
-            return -1
-        top = self.spark.read.schema(COMMITS).json(f"{self.path}/commits").agg(F.max("batch"))
-        return -1 if (n := top.first()[0]) is None else n
+            return -1, -1
+        top = self.spark.read.schema(COMMITS).json(f"{self.path}/commits").agg(
+            F.max("batch"), F.max(F.when(F.col("whole_cards"), F.col("batch")))).first()
+        return tuple(-1 if n is None else n for n in top)
 
-    def _appended(self, name: str, schema: T.StructType) -> DataFrame:
+    def committed(self) -> int:
+        return self._last()[0]
+
+    def _appended(self, name: str, schema: T.StructType, after: int = -1) -> DataFrame:
         done = self.committed()
-        if done < 0 or not self._exists(name):
+        if done <= after or not self._exists(name):
             return self.spark.createDataFrame([], schema)
         wide = T.StructType(schema.fields + [T.StructField("batch", T.LongType())])
         return (self.spark.read.schema(wide).parquet(f"{self.path}/{name}")
-                .filter(F.col("batch") <= done).drop("batch"))
+                .filter((F.col("batch") > after) & (F.col("batch") <= done)).drop("batch"))
 
     def announcements(self) -> DataFrame:
         return self._appended("announcements", ANNOUNCEMENTS)
@@ -53,10 +65,22 @@ class State:
         return self._appended("mentions", MENTIONS)
 
     def cards(self) -> DataFrame:
-        done = self.committed()
-        if done < 0:
-            return self.spark.createDataFrame([], CARDS)
-        return self.spark.read.schema(CARDS).parquet(f"{self.path}/cards/batch={done}")
+        done, whole = self._last()
+        table = (self.spark.read.schema(CARDS).parquet(f"{self.path}/cards/batch={whole}")
+                 if whole >= 0 else self.spark.createDataFrame([], CARDS))
+        if whole == done:
+            return table
+        return combine_cards(table.unionByName(self._appended("card_changes", CARDS, whole)))
+
+    def add_cards(self, batch: int, seen: DataFrame, every: int = WHOLE_CARDS_EVERY) -> bool:
+        """Stage what a batch has seen; whether it wrote the whole table, too."""
+        before = self.cards()
+        self.stage("card_changes", batch, combine_cards(seen))
+        if (batch + 1) % every:
+            return False
+        changes = self.staged("card_changes", batch, CARDS)
+        self.stage("cards", batch, combine_cards(before.unionByName(changes)))
+        return True
 
     def staged(self, name: str, batch: int, schema: T.StructType) -> DataFrame:
         """Rows a batch has written but not committed yet."""
@@ -65,6 +89,6 @@ class State:
     def stage(self, name: str, batch: int, df: DataFrame) -> None:
         df.write.mode("overwrite").parquet(f"{self.path}/{name}/batch={batch}")
 
-    def commit(self, batch: int) -> None:
-        (self.spark.createDataFrame([(batch,)], COMMITS).coalesce(1)
+    def commit(self, batch: int, whole_cards: bool = False) -> None:
+        (self.spark.createDataFrame([(batch, whole_cards)], COMMITS).coalesce(1)
          .write.mode("append").json(f"{self.path}/commits"))

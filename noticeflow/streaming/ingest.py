@@ -38,7 +38,17 @@ def ingest_stream(pages: DataFrame, state: State, checkpoint: str,
     return writer.start()
 
 
-def first_seen(pages: DataFrame, delay: str = "1 day", time: str = "scraped_at") -> DataFrame:
-    """First page per cleaned url within the watermark delay."""
-    return (pages.withColumn("url", clean_url(F.col("url")))
-            .withWatermark(time, delay).dropDuplicatesWithinWatermark(["url"]))
+def first_seen(pages: DataFrame, delay: str = "1 day", time: str = "scraped_at",
+               spread_by: str | None = None) -> DataFrame:
+    """First page per cleaned url within the watermark delay.
+
+    ``spread_by`` names a column that differs between copies of one url. With
+    it copies are first dropped in 64 parts of each url and then overall, so a
+    url with a third of all pages keeps 64 tasks busy instead of one, at the
+    price of a second, equally long state.
+    """
+    once = pages.withColumn("url", clean_url(F.col("url"))).withWatermark(time, delay)
+    if spread_by:
+        part = F.pmod(F.xxhash64(spread_by), F.lit(64))
+        once = once.withColumn("_part", part).dropDuplicatesWithinWatermark(["url", "_part"]).drop("_part")
+    return once.dropDuplicatesWithinWatermark(["url"])

@@ -48,6 +48,8 @@ def test_one_batch(spark, pages, tmp_path):
                  ("http://n/2", "列表标题", "2024-02-03", "2024-02-03", "ccgp-bxsearch")]
     assert c == [("甲校", "李雷", ("010-11112222", "13811112222"), NOW, NOW)]
     assert len(m) == 2 and {r[2] for r in m} == {"buyer"}
+    rejects = spark.read.parquet(f"{tmp_path}/notices/batch=0").filter("refused").collect()
+    assert [r.url for r in rejects] == ["http://n/3"]
     winners = spark.read.parquet(f"{tmp_path}/winners/batch=0").collect()
     assert {w.company for w in winners} == {"商"} and len(winners) == 2
 
@@ -66,6 +68,12 @@ def test_second_batch_adds_only_what_is_new(spark, pages, tmp_path):
     assert plan.ingest(good, state, now=LATER).new_notices == 1
 
 
+def test_empty_batch(spark, pages, tmp_path):
+    state = State(spark, str(tmp_path))
+    assert plan.ingest(pages.limit(0), state, now=NOW) == plan.Ingested(0, 0, 0, 0, 0)
+    assert plan.ingest(pages, state, now=NOW).new_notices == 2
+
+
 def test_committed_batch_is_not_applied_twice(spark, pages, tmp_path):
     state = State(spark, str(tmp_path))
     assert plan.ingest(pages, state, batch=0, now=NOW) is not None
@@ -75,7 +83,7 @@ def test_committed_batch_is_not_applied_twice(spark, pages, tmp_path):
 def test_batch_that_died_is_redone(spark, pages, tmp_path, monkeypatch):
     state = State(spark, str(tmp_path))
     with monkeypatch.context() as m:
-        m.setattr(State, "commit", lambda self, n: (_ for _ in ()).throw(RuntimeError("driver lost")))
+        m.setattr(State, "commit", lambda self, n, whole: (_ for _ in ()).throw(RuntimeError("driver lost")))
         with pytest.raises(RuntimeError):
             plan.ingest(pages, state, now=NOW)
     assert state.announcements().count() == 0
@@ -107,10 +115,11 @@ def test_stream_equals_batch(spark, pages, tmp_path):
     assert tables(state)[0] == got[0]
 
 
-def test_first_seen(spark, tmp_path):
+@pytest.mark.parametrize("spread_by", [None, "ingest_seq"])
+def test_first_seen(spark, tmp_path, spread_by):
     arriving, out = str(tmp_path / "in"), str(tmp_path / "out")
     spark.createDataFrame(ROWS, PAGES).write.parquet(arriving)
-    stream = first_seen(page_stream(spark, arriving))
+    stream = first_seen(page_stream(spark, arriving), spread_by=spread_by)
     (stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp"))
      .trigger(availableNow=True).start(out).awaitTermination())
     urls = sorted(r.url for r in spark.read.parquet(out).collect())

@@ -61,7 +61,8 @@ def test_newest_and_lookup(a):
 
 def test_capped_per_source(spark):
     df = spark.createDataFrame([("s", i) for i in range(300)] + [("t", 7)], "source string, item_pos int")
-    got = notices.capped_per_source(df).collect()
+    got = notices.capped_per_source(df.repartition(7)).collect()
+    assert got and set(got[0].asDict()) == {"source", "item_pos"}
     assert len(got) == 251 and max(r.item_pos for r in got if r.source == "s") == 249
 
 

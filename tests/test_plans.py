@@ -8,9 +8,9 @@ import __spark_entry__ as entry
 PYTHON = {"page_blocks", "page_titles", "page_details", "page_links", "page_contacts", "titled_links", "refusal_pages",
           "result_items", "notice_meta", "table_cells", "table_profile", "table_fields", "notice_sections",
           "table_contacts", "text_contacts", "notice_contacts", "notice_text", "flat_notices", "notice_candidates",
-          "notice_cards", "notice_winners"}
+          "notice_winners"}
 EAGER = {"ingest", "ingest_counters", "ingest_stream", "stream_dedupe", "export_by_province", "export_by_day",
-         "dedupe_title_or_url"}
+         "dedupe_title_or_url", "notice_cards"}
 
 
 @pytest.mark.parametrize("name", sorted(set(entry.queries()) - EAGER))
@@ -19,8 +19,7 @@ def test_plan_shape(spark, name):
     assert "BroadcastNestedLoopJoin" not in text and "CartesianProduct" not in text
     assert "BatchEvalPython" not in text and "ArrowEvalPython" not in text
     assert ("MapInArrow" in text) == (name in PYTHON)
-    if name != "notice_cards":           # cards and mentions are two reads of the candidates
-        assert text.count("MapInArrow") <= 1
+    assert text.count("MapInArrow") <= 1
 
 
 def test_list_does_not_read_content(spark):

@@ -72,7 +72,6 @@ def test_state_shows_committed_batches_only(spark, tmp_path):
     state = State(spark, str(tmp_path / "state"))
     assert state.committed() == -1 and state.announcements().count() == 0 and state.cards().count() == 0
     state.stage("announcements", 0, spark.createDataFrame([note(1)], ANNOUNCEMENTS))
-    state.stage("cards", 0, spark.createDataFrame([], CARDS))
     state.stage("mentions", 0, spark.createDataFrame([], MENTIONS))
     assert state.announcements().count() == 0
     state.commit(0)
@@ -80,11 +79,26 @@ def test_state_shows_committed_batches_only(spark, tmp_path):
     state.stage("announcements", 1, spark.createDataFrame([note(2), note(3)], ANNOUNCEMENTS))
     assert [r.id for r in state.announcements().collect()] == [1] and state.committed() == 0
     state.stage("announcements", 1, spark.createDataFrame([note(4)], ANNOUNCEMENTS))
-    state.stage("cards", 1, spark.createDataFrame([], CARDS))
     state.commit(1)
     assert sorted(r.id for r in state.announcements().collect()) == [1, 4]
 
 
+@pytest.mark.parametrize("every", [1, 2, 3, 100])
+def test_cards_do_not_depend_on_when_the_table_is_rewritten(spark, tmp_path, every):
+    state = State(spark, str(tmp_path))
+    for n, rows in enumerate([[card("甲", ["1"], 1)], [card("甲", ["2"], 2), card("乙", [], 2)], [card("乙", ["3"], 3)],
+                              [card("甲", ["1"], 4)]]):
+        state.commit(n, state.add_cards(n, spark.createDataFrame(rows, CARDS), every))
+        # Changes of a batch that is not committed are not seen.
+        state.add_cards(n + 1, spark.createDataFrame([card("丙", ["9"], 9)], CARDS), every)
+    got = sorted((r.company, r.phones, r.created_at.day, r.updated_at.day) for r in state.cards().collect())
+    assert got == [("乙", ["3"], 2, 3), ("甲", ["1", "2"], 1, 4)]
+
+
+def card(company, phones, day):
+    return (None, company, "李", phones, [], datetime(2024, 1, day), datetime(2024, 1, day))
+
+
 # ------------------------------------------------------------------ exports
 
 def csv(spark, path):

@@ -101,7 +101,7 @@ def stream_dedupe(spark, sf):
     twice = (stream.select("page_id", F.explode(F.array("url", plain)).alias("url"))
              .withColumn("scraped_at", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("page_id"))))
     out = _folder(spark, "seen")
-    run = (first_seen(twice).select("url").writeStream.format("parquet")
+    run = (first_seen(twice, spread_by="page_id").select("url").writeStream.format("parquet")
            .option("checkpointLocation", _folder(spark, "progress"))
            .trigger(availableNow=True).start(out))
     run.awaitTermination()

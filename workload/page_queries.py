@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from noticeflow.operators import generic_pages, notice_pages, notice_tables
+from noticeflow.operators import cards, generic_pages, notice_pages, notice_tables
 from noticeflow.operators.html_blocks import html_blocks
 from noticeflow.operators.refused import refused
 from noticeflow.plans import ingest, notice
+from noticeflow.schema import MENTIONS
+from noticeflow.session import shared_dir
 
 from .derived import N
 from .derived import notice_pages as derived_notices
@@ -282,13 +284,13 @@ SELECT company, contact_name, array_to_string(list_sort(list(DISTINCT phone)), '
 FROM one GROUP BY company, contact_name""")
 def notice_cards(spark, sf):
     """Candidates of all notices merged into cards, with their mentions."""
-    from noticeflow.operators import cards as card_ops
-    from noticeflow.schema import CARDS, MENTIONS
     candidates = notice.card_candidates(notice.notices(_blocks(spark, sf)), ["page_id"])
-    kept = ingest.kept_candidates(candidates.withColumnRenamed("page_id", "announcement_id"))
-    merged = card_ops.merge_cards(spark.createDataFrame([], CARDS),
-                                  kept.withColumn("seen_at", F.current_timestamp()))
-    m = card_ops.new_mentions(spark.createDataFrame([], MENTIONS), ingest.mentions_of(kept))
+    shared_dir(spark)
+    # Read twice below: written once, so that pages are parsed once.
+    kept = ingest.kept_candidates(
+        candidates.withColumnRenamed("page_id", "announcement_id")).checkpoint()
+    merged = cards.combine_cards(cards.seen_cards(kept, F.current_timestamp()))
+    m = cards.new_mentions(spark.createDataFrame([], MENTIONS), ingest.mentions_of(kept))
     per_card = m.groupBy("business_card_id").agg(
         F.countDistinct("announcement_id").alias("projects"), F.count(F.lit(1)).alias("mentions"))
     return (merged.join(per_card, merged["id"] == per_card["business_card_id"])
