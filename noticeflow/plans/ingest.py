@@ -109,14 +109,15 @@ def ingest(pages: DataFrame, state: State, batch: int | None = None,
     counters read from it. Refused pages stay in it, flagged, as the table of
     rejects. A batch number that is already committed is skipped and gives None.
     """
-    done = state.committed()
-    batch = done + 1 if batch is None else batch
-    if batch <= done:
+    stored = state.view()
+    batch = stored.batch + 1 if batch is None else batch
+    if batch <= stored.batch:
         return None
     now = now or datetime.now(timezone.utc).replace(tzinfo=None)
-    old_announcements, old_mentions = state.announcements(), state.mentions()
+    # Listed before this batch writes next to them.
+    announcements, mentions, cards = stored.announcements(), stored.mentions(), stored.cards()
 
-    blocks = html_blocks(new_pages(pages, old_announcements)).withColumn("refused", refused_page())
+    blocks = html_blocks(new_pages(pages, announcements)).withColumn("refused", refused_page())
     read = notices(blocks, fill_gaps)
     state.stage("notices", batch, read)
     read = state.staged("notices", batch, read.schema)
@@ -127,8 +128,8 @@ def ingest(pages: DataFrame, state: State, batch: int | None = None,
     state.stage("candidates", batch, candidates)
     candidates = state.staged("candidates", batch, candidates.schema)
     kept = kept_candidates(candidates)
-    whole = state.add_cards(batch, seen_cards(kept, F.lit(now)), whole_cards_every)
-    state.stage("mentions", batch, new_mentions(old_mentions, mentions_of(kept)))
+    whole = state.add_cards(batch, seen_cards(kept, F.lit(now)), cards, whole_cards_every)
+    state.stage("mentions", batch, new_mentions(mentions, mentions_of(kept)))
     if keep_suppliers:
         state.stage("winners", batch, winners_of(candidates))
     state.commit(batch, whole)

@@ -30,33 +30,26 @@ COMMITS = T.StructType([T.StructField("batch", T.LongType()),
 WHOLE_CARDS_EVERY = 16
 
 
-@dataclass(frozen=True)
-class State:
-    spark: SparkSession
-    path: str
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
-    def _exists(self, name: str) -> bool:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
 
-    def _last(self) -> tuple[int, int]:
-        """Numbers of the last committed batch and of the last with whole cards, or -1."""
-        if not self._exists("commits"):
-            return -1, -1
-        top = self.spark.read.schema(COMMITS).json(f"{self.path}/commits").agg(
-            F.max("batch"), F.max(F.when(F.col("whole_cards"), F.col("batch")))).first()
-        return tuple(-1 if n is None else n for n in top)
+@dataclass(frozen=True)
+class View:
+    """The tables as of one committed batch; -1 is the empty state."""
 
-    def committed(self) -> int:
-        return self._last()[0]
+    spark: SparkSession
+    path: str
+    batch: int
+    whole: int      # last batch that wrote the whole card table
 
     def _appended(self, name: str, schema: T.StructType, after: int = -1) -> DataFrame:
-        done = self.committed()
-        if done <= after or not self._exists(name):
+        if self.batch <= after or not _exists(self.spark, f"{self.path}/{name}"):
             return self.spark.createDataFrame([], schema)
         wide = T.StructType(schema.fields + [T.StructField("batch", T.LongType())])
         return (self.spark.read.schema(wide).parquet(f"{self.path}/{name}")
-                .filter((F.col("batch") > after) & (F.col("batch") <= done)).drop("batch"))
+                .filter((F.col("batch") > after) & (F.col("batch") <= self.batch)).drop("batch"))
 
     def announcements(self) -> DataFrame:
         return self._appended("announcements", ANNOUNCEMENTS)
@@ -65,16 +58,50 @@ class State:
         return self._appended("mentions", MENTIONS)
 
     def cards(self) -> DataFrame:
-        done, whole = self._last()
-        table = (self.spark.read.schema(CARDS).parquet(f"{self.path}/cards/batch={whole}")
-                 if whole >= 0 else self.spark.createDataFrame([], CARDS))
-        if whole == done:
+        table = (self.spark.read.schema(CARDS).parquet(f"{self.path}/cards/batch={self.whole}")
+                 if self.whole >= 0 else self.spark.createDataFrame([], CARDS))
+        if self.whole == self.batch:
             return table
-        return combine_cards(table.unionByName(self._appended("card_changes", CARDS, whole)))
+        return combine_cards(table.unionByName(self._appended("card_changes", CARDS, self.whole)))
+
 
-    def add_cards(self, batch: int, seen: DataFrame, every: int = WHOLE_CARDS_EVERY) -> bool:
+@dataclass(frozen=True)
+class State:
+    spark: SparkSession
+    path: str
+
+    def view(self) -> View:
+        """What is committed now."""
+        batch, whole = -1, -1
+        if _exists(self.spark, f"{self.path}/commits"):
+            top = self.spark.read.schema(COMMITS).json(f"{self.path}/commits").agg(
+                F.max("batch"), F.max(F.when(F.col("whole_cards"), F.col("batch")))).first()
+            batch, whole = (-1 if n is None else n for n in top)
+        return View(self.spark, self.path, batch, whole)
+
+    def committed(self) -> int:
+        """Number of the last committed batch, -1 when there is none."""
+        return self.view().batch
+
+    def announcements(self) -> DataFrame:
+        return self.view().announcements()
+
+    def mentions(self) -> DataFrame:
+        return self.view().mentions()
+
+    def cards(self) -> DataFrame:
+        return self.view().cards()
+
+    def staged(self, name: str, batch: int, schema: T.StructType) -> DataFrame:
+        """Rows a batch has written, committed or not."""
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}/batch={batch}")
+
+    def stage(self, name: str, batch: int, df: DataFrame) -> None:
+        df.write.mode("overwrite").parquet(f"{self.path}/{name}/batch={batch}")
+
+    def add_cards(self, batch: int, seen: DataFrame, before: DataFrame,
+                  every: int = WHOLE_CARDS_EVERY) -> bool:
         """Stage what a batch has seen; whether it wrote the whole table, too."""
-        before = self.cards()
         self.stage("card_changes", batch, combine_cards(seen))
         if (batch + 1) % every:
             return False
@@ -82,13 +109,6 @@ class State:
         self.stage("cards", batch, combine_cards(before.unionByName(changes)))
         return True
 
-    def staged(self, name: str, batch: int, schema: T.StructType) -> DataFrame:
-        """Rows a batch has written but not committed yet."""
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}/batch={batch}")
-
-    def stage(self, name: str, batch: int, df: DataFrame) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/{name}/batch={batch}")
-
     def commit(self, batch: int, whole_cards: bool = False) -> None:
         (self.spark.createDataFrame([(batch, whole_cards)], COMMITS).coalesce(1)
          .write.mode("append").json(f"{self.path}/commits"))
