@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.chars import like_text, strip, text_or_empty
+from .dedupe import unseen
 from .sizing import broadcast_if_small, settled
 
 # Company cells that only point elsewhere.
@@ -32,23 +33,24 @@ def card_matches(q: str) -> Column:
     return like_text(F.col("company"), q) | like_text(F.col("contact_name"), q)
 
 
-def pairs_of(m: DataFrame) -> DataFrame:
-    """Distinct (card, announcement): roles collapse before any join."""
-    return m.select("business_card_id", "announcement_id").distinct()
-
-
 # ---------------------------------------------------------------- statistics
 
 def top_companies(c: DataFrame, m: DataFrame, k: int = 5) -> DataFrame:
     """Companies by number of distinct announcements that mention them.
 
-    The distinct count runs in two steps, the first keyed by (company,
-    announcement), so a company with a third of all mentions is spread out.
+    Mentions are unique per (card, announcement, role), so reducing them before
+    the join would shuffle them all to save few. A company is stood for by the
+    smallest of its card ids until it is counted: two numbers per mention are
+    shuffled, no names. The distinct count runs in two steps, the first keyed
+    by (company, announcement), so a company with a third of all mentions is
+    spread out.
     """
-    cards = c.filter(real_company()).select("id", "company")
-    joined = pairs_of(m).join(cards, F.col("business_card_id") == F.col("id"))
-    return (joined.groupBy("company")
-            .agg(F.countDistinct("announcement_id").alias("count"))
+    cards = c.filter(real_company()).select(F.col("id").alias("business_card_id"), "company")
+    names = cards.groupBy("company").agg(F.min("business_card_id").alias("company_key"))
+    keyed = cards.join(names, "company").select("business_card_id", "company_key")
+    counts = (m.select("business_card_id", "announcement_id").join(keyed, "business_card_id")
+              .groupBy("company_key").agg(F.countDistinct("announcement_id").alias("count")))
+    return (counts.join(names, "company_key").select("company", "count")
             .orderBy(F.desc("count"), F.asc("company")).limit(k))
 
 
@@ -250,10 +252,13 @@ def merge_cards(old: DataFrame, new: DataFrame) -> DataFrame:
     return combine_cards(old.drop("id").unionByName(seen_cards(new, F.col("seen_at"))))
 
 
+def distinct_mentions(new: DataFrame) -> DataFrame:
+    """Complete, distinct mentions."""
+    return (new.filter(F.col("business_card_id").isNotNull() & F.col("announcement_id").isNotNull())
+            .select("business_card_id", "announcement_id",
+                    strip(text_or_empty(F.col("role"))).alias("role")).distinct())
+
+
 def new_mentions(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Mentions to append: complete, distinct and not stored."""
-    key = ["business_card_id", "announcement_id", "role"]
-    clean = (new.filter(F.col("business_card_id").isNotNull() & F.col("announcement_id").isNotNull())
-             .select("business_card_id", "announcement_id",
-                     strip(text_or_empty(F.col("role"))).alias("role")).distinct())
-    return clean.join(old.select(*key), key, "left_anti")
+    """Mentions to append: complete, distinct and not stored."""
+    return unseen(distinct_mentions(new), old, ["business_card_id", "announcement_id", "role"])

@@ -2,18 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..session import shared_dir
 
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 64 * 1024 * 1024
 PAGE_ROWS = 1_000
 
 
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether there are at most ``rows`` rows of numbers and short texts in all.
+
+    The look ends after one row more.
+    """
+    texts = [F.octet_length(f.name) for f in df.schema.fields if f.dataType == T.StringType()]
+    seen = df.limit(rows + 1).agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.sum(sum((F.coalesce(t, F.lit(0)) for t in texts), F.lit(0))).alias("bytes")).first()
+    return seen.rows <= rows and (seen.bytes or 0) <= BROADCAST_BYTES
+
+
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a narrow side that has at most ``rows`` rows; else leave the
-    join to the planner, which shuffles. The count stops after ``rows`` + 1."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """Broadcast a narrow side that is proven small; else leave the join to the
+    planner, which shuffles."""
+    return F.broadcast(df) if is_small(df, rows) else df
 
 
 def settled(df: DataFrame, limit: int) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.chars import first_filled, strip
 from ..functions.text import clean_announcement, clean_url, publish_day
-from ..operators.cards import card_id, new_mentions, seen_cards
+from ..operators.cards import card_id, distinct_mentions, seen_cards
 from ..operators.dedupe import insert_or_ignore
 from ..operators.generic_pages import page_text
 from ..operators.html_blocks import html_blocks
@@ -115,7 +115,7 @@ def ingest(pages: DataFrame, state: State, batch: int | None = None,
         return None
     now = now or datetime.now(timezone.utc).replace(tzinfo=None)
     # Listed before this batch writes next to them.
-    announcements, mentions, cards = stored.announcements(), stored.mentions(), stored.cards()
+    announcements, cards = stored.announcements(), stored.cards()
 
     blocks = html_blocks(new_pages(pages, announcements)).withColumn("refused", refused_page())
     read = notices(blocks, fill_gaps)
@@ -129,7 +129,8 @@ def ingest(pages: DataFrame, state: State, batch: int | None = None,
     candidates = state.staged("candidates", batch, candidates.schema)
     kept = kept_candidates(candidates)
     whole = state.add_cards(batch, seen_cards(kept, F.lit(now)), cards, whole_cards_every)
-    state.stage("mentions", batch, new_mentions(mentions, mentions_of(kept)))
+    # The announcements are new, so none of their mentions can be stored.
+    state.stage("mentions", batch, distinct_mentions(mentions_of(kept)))
     if keep_suppliers:
         state.stage("winners", batch, winners_of(candidates))
     state.commit(batch, whole)

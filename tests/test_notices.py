@@ -4,7 +4,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from noticeflow.operators import dedupe, notices
+from noticeflow.operators import dedupe, notices, sizing
 from noticeflow.plans.search import SearchParams, code_of, search_notices
 
 COLUMNS = "id long, title string, content string, url string, publish_date string, source string, ingest_seq long"
@@ -101,6 +101,17 @@ def test_dedupe_first_and_insert_or_ignore(spark):
     assert again.count() == 0
 
 
+@pytest.mark.parametrize("bound", [0, 100_000])
+def test_unseen_by_either_way(spark, monkeypatch, bound):
+    monkeypatch.setattr(dedupe, "is_small", lambda df: bound > 0)
+    both = spark.createDataFrame([("b", 5), ("b", 4), ("d", 6), ("d", 7)], "url string, x int")
+    old = spark.createDataFrame([("b",)], "url string")
+    assert [r.x for r in dedupe.insert_or_ignore(old, both, ["url"], "x").collect()] == [6]
+    df = spark.createDataFrame([("a", 1), ("b", 2), ("b", 3), ("c", 4)], "url string, x int")
+    stored = spark.createDataFrame([("b",), ("b",), ("z",)], "url string")
+    assert sorted(r.x for r in dedupe.unseen(df, stored, ["url"]).collect()) == [1, 4]
+
+
 def keep(rows):
     titles, urls, out = set(), set(), []
     for seq, t, u in rows:
@@ -135,3 +146,10 @@ def test_dedupe_either_on_a_chain(spark):
 def test_distinct_rows(spark):
     df = spark.createDataFrame([(1, "a"), (1, "b")], "x int, y string")
     assert dedupe.distinct_rows(df, ["x", "z"]).count() == 1
+
+
+def test_is_small_looks_at_rows_and_bytes(spark, monkeypatch):
+    df = spark.createDataFrame([("ab", 1), (None, 2)], "x string, y int")
+    assert sizing.is_small(df, 2) and not sizing.is_small(df, 1) and sizing.is_small(df.limit(0), 0)
+    monkeypatch.setattr(sizing, "BROADCAST_BYTES", 1)
+    assert not sizing.is_small(df, 2)

@@ -8,7 +8,6 @@ from noticeflow.operators import cards, generic_pages, notice_pages, notice_tabl
 from noticeflow.operators.html_blocks import html_blocks
 from noticeflow.operators.refused import refused
 from noticeflow.plans import ingest, notice
-from noticeflow.schema import MENTIONS
 from noticeflow.session import shared_dir
 
 from .derived import N
@@ -290,7 +289,7 @@ def notice_cards(spark, sf):
     kept = ingest.kept_candidates(
         candidates.withColumnRenamed("page_id", "announcement_id")).checkpoint()
     merged = cards.combine_cards(cards.seen_cards(kept, F.current_timestamp()))
-    m = cards.new_mentions(spark.createDataFrame([], MENTIONS), ingest.mentions_of(kept))
+    m = cards.distinct_mentions(ingest.mentions_of(kept))
     per_card = m.groupBy("business_card_id").agg(
         F.countDistinct("announcement_id").alias("projects"), F.count(F.lit(1)).alias("mentions"))
     return (merged.join(per_card, merged["id"] == per_card["business_card_id"])
