@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.chars import like_text, strip, text_or_empty
 from .dedupe import unseen
-from .sizing import broadcast_if_small, settled
+from .sizing import broadcast_if_small, is_small, settled
 
 # Company cells that only point elsewhere.
 PLACEHOLDER_COMPANIES = ("%详见%正文%", "%见公告%", "%见附件%")
@@ -261,4 +261,5 @@ def distinct_mentions(new: DataFrame) -> DataFrame:
 
 def new_mentions(old: DataFrame, new: DataFrame) -> DataFrame:
     """Mentions to append: complete, distinct and not stored."""
-    return unseen(distinct_mentions(new), old, ["business_card_id", "announcement_id", "role"])
+    key = ["business_card_id", "announcement_id", "role"]
+    return unseen(distinct_mentions(new), old, key, small=is_small(new.select(*key)))

@@ -45,8 +45,7 @@ def unseen(df: DataFrame, stored: DataFrame, keys: Sequence[str], small: bool |
     are shuffled by key. ``small`` is the answer where it is known already.
     """
     keys = list(keys)
-    asked = df.select(*keys).distinct()
-    known = stored.select(*keys)
+    asked, known = df.select(*keys), stored.select(*keys)
     if is_small(asked) if small is None else small:
         # At most as many known keys as were asked for.
         known = F.broadcast(known.join(F.broadcast(asked), keys, "left_semi").distinct())

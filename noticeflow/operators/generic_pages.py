@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.chars import built_once, first, let, none_if_empty, strip, text_or_empty
@@ -9,6 +11,7 @@ from ..functions.contact import EMAIL, MOBILE
 from ..functions.text import DATE_SHAPES, NO_TITLE, find_date, parse_list_info
 from ..functions.urls import absolute_url, join_url, url_parts
 from . import dom
+from .notices import not_older, title_gate
 
 # Fixed values.
 HITS_PER_SELECTOR = 100
@@ -135,6 +138,12 @@ def page_links(blocks: DataFrame, base: str = "url") -> DataFrame:
                     F.col("_link.url").alias("link_url"), F.col("_link.date").alias("link_date")))
 
 
+def listed_notices(blocks: DataFrame, as_of: datetime | str, base: str = "url") -> DataFrame:
+    """Links of a listing page that name a result notice of the last days."""
+    return page_links(blocks, base).filter(
+        title_gate("link_title") & not_older(as_of, col="link_date"))
+
+
 def result_items(blocks: DataFrame) -> DataFrame:
     """One row per item of a stored search-result page."""
     kept = dom.other_columns(blocks)

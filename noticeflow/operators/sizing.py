@@ -14,12 +14,13 @@ PAGE_ROWS = 1_000
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether there are at most ``rows`` rows of numbers and short texts in all.
 
-    The look ends after one row more.
+    Counted in every task and summed; a LIMIT would gather up to ``rows`` rows
+    of every partition in one task first.
     """
-    texts = [F.octet_length(f.name) for f in df.schema.fields if f.dataType == T.StringType()]
-    seen = df.limit(rows + 1).agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.sum(sum((F.coalesce(t, F.lit(0)) for t in texts), F.lit(0))).alias("bytes")).first()
+    texts = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema.fields
+             if f.dataType == T.StringType()]
+    seen = df.agg(F.count(F.lit(1)).alias("rows"),
+                  F.sum(sum(texts, F.lit(0))).alias("bytes")).first()
     return seen.rows <= rows and (seen.bytes or 0) <= BROADCAST_BYTES
 
 

@@ -2,7 +2,8 @@
 
 A state folder holds
 
-* ``announcements/batch=N`` and ``mentions/batch=N``: rows appended by batch N;
+* ``announcements``, ``mentions`` and ``contacts``, each ``/batch=N``: rows appended by
+  batch N;
 * ``card_changes/batch=N``: the cards batch N has seen, as card rows;
 * ``cards/batch=N``: the whole card table as of batch N, written now and then;
 * ``commits``: one row per finished batch, written last.
@@ -23,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..operators.cards import combine_cards
-from ..schema import ANNOUNCEMENTS, CARDS, MENTIONS
+from ..schema import ANNOUNCEMENTS, CARDS, CONTACTS, MENTIONS
 
 COMMITS = T.StructType([T.StructField("batch", T.LongType()),
                         T.StructField("whole_cards", T.BooleanType())])
@@ -57,6 +58,9 @@ class View:
     def mentions(self) -> DataFrame:
         return self._appended("mentions", MENTIONS)
 
+    def contacts(self) -> DataFrame:
+        return self._appended("contacts", CONTACTS)
+
     def cards(self) -> DataFrame:
         table = (self.spark.read.schema(CARDS).parquet(f"{self.path}/cards/batch={self.whole}")
                  if self.whole >= 0 else self.spark.createDataFrame([], CARDS))
@@ -89,9 +93,16 @@ class State:
     def mentions(self) -> DataFrame:
         return self.view().mentions()
 
+    def contacts(self) -> DataFrame:
+        return self.view().contacts()
+
     def cards(self) -> DataFrame:
         return self.view().cards()
 
+    def append_contacts(self, batch: int, rows: DataFrame) -> None:
+        """Stage contact rows (S9), from ``operators.contacts.contact_rows``."""
+        self.stage("contacts", batch, rows.select(*CONTACTS.fieldNames()))
+
     def staged(self, name: str, batch: int, schema: T.StructType) -> DataFrame:
         """Rows a batch has written, committed or not."""
         return self.spark.read.schema(schema).parquet(f"{self.path}/{name}/batch={batch}")

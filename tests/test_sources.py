@@ -3,6 +3,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from noticeflow.operators.contacts import contacts_in_text
 from noticeflow.schema import ANNOUNCEMENTS, CARDS, CONTACTS, MENTIONS
 from noticeflow.sources import exports, keywords, pages, search_json
 from noticeflow.sources.state import State
@@ -83,6 +84,16 @@ def test_state_shows_committed_batches_only(spark, tmp_path):
     assert sorted(r.id for r in state.announcements().collect()) == [1, 4]
 
 
+def test_append_contacts(spark, tmp_path):
+    state = State(spark, str(tmp_path))
+    found = contacts_in_text(spark.createDataFrame([(7, "联系人：李雷 电话：010-12345678 a@b.cn")], "id long, t string"),
+                             "t", "id")
+    state.append_contacts(0, found)
+    assert state.contacts().count() == 0
+    state.commit(0)
+    assert [tuple(r) for r in state.contacts().collect()] == [(7, "", "李雷", "010-12345678", "a@b.cn")]
+
+
 @pytest.mark.parametrize("every", [1, 2, 3, 100])
 def test_cards_do_not_depend_on_when_the_table_is_rewritten(spark, tmp_path, every):
     state = State(spark, str(tmp_path))

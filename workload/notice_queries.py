@@ -69,13 +69,17 @@ TITLED = """t AS (SELECT p_partkey AS id, p_name ||
     ELSE '单一来源磋商服务' END AS title FROM part)"""
 
 
-def _titled(spark, sf):
-    kind = F.col("p_type")
+def titled(kind):
+    """Title of a part: its name and words of a notice kind."""
     tail = (F.when(kind == "STANDARD", "货物公开招标公告").when(kind == "MEDIUM", "工程中标结果公告")
             .when(kind == "PROMO", "服务竞争性谈判").when(kind == "LARGE", "货物成交结果更正")
             .when(kind == "SMALL", "询价货物").otherwise("单一来源磋商服务"))
+    return F.concat(F.col("p_name"), tail)
+
+
+def _titled(spark, sf):
     return table(spark, sf, "part").select(F.col("p_partkey").alias("id"),
-                                           F.concat("p_name", tail).alias("title"))
+                                           titled(F.col("p_type")).alias("title"))
 
 
 @query("notice_kinds", f"""WITH {TITLED}

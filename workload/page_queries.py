@@ -9,12 +9,14 @@ from noticeflow.operators.html_blocks import html_blocks
 from noticeflow.operators.refused import refused
 from noticeflow.plans import ingest, notice
 from noticeflow.session import shared_dir
+from noticeflow.sources.pages import spread
 
 from .derived import N
 from .derived import notice_pages as derived_notices
 from .derived import result_pages
+from .notice_queries import TITLED, titled
 from .registry import query
-from .roles import pages
+from .roles import pages, table
 
 # ------------------------------------------------------------- stored pages
 
@@ -103,6 +105,23 @@ def result_items(spark, sf):
     return generic_pages.result_items(b)
 
 
+@query("listed_notices", f"""WITH {TITLED}, x AS (SELECT p_partkey AS page_id, title || '公告' AS link_title,
+  'http://list.example/n/' || p_partkey || '.html' AS link_url, '2024-01-' || lpad(CAST(p_size % 28 + 1 AS VARCHAR), 2, '0') AS day
+  FROM part JOIN t ON t.id = p_partkey
+  WHERE (title LIKE '%中标%' OR title LIKE '%成交%' OR title LIKE '%结果%') AND title NOT LIKE '%更正%')
+SELECT page_id, 0 AS link_pos, link_title, link_url, CAST(NULL AS VARCHAR) AS link_date FROM x
+UNION ALL SELECT page_id, 1, link_title, link_url, day FROM x WHERE day >= '2024-01-16'""")
+def listed_notices(spark, sf):
+    """One link per page, found as a link (without date) and as a list item (with one)."""
+    key = F.col("p_partkey").cast("string")
+    day = F.concat(F.lit("2024-01-"), F.lpad((F.col("p_size") % 28 + 1).cast("string"), 2, "0"))
+    p = spread(table(spark, sf, "part")).select(
+        F.col("p_partkey").alias("page_id"), F.lit("http://list.example/index.htm").alias("url"),
+        F.concat(F.lit("<ul><li><a href='n/"), key, F.lit(".html'>"), titled(F.col("p_type")),
+                 F.lit("公告</a><span>"), day, F.lit("</span></ul>")).alias("html"))
+    return generic_pages.listed_notices(html_blocks(p), "2024-02-15 00:00:00").drop("url")
+
+
 # ------------------------------------------------------------ derived notices
 
 def _blocks(spark, sf):
