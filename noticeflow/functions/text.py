@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .chars import (WS, first, first_filled, last, none_if_empty, split_filled,
+from .chars import (WS, first, first_filled, last, split_filled,
                     strip, text_or_empty, truncate)
 
 # Fixed values.
@@ -92,7 +92,7 @@ def province_of(title: Column, content: Column) -> Column:
 
 def find_date(text: Column, shapes: Sequence[str] = DATE_SHAPES) -> Column:
     """First match of the first date shape that occurs at all, else null."""
-    return F.coalesce(*[none_if_empty(F.regexp_extract(text, p, 0)) for p in shapes])
+    return F.coalesce(*[F.when(text.rlike(p), F.regexp_extract(text, p, 0)) for p in shapes])
 
 
 def after_last_colon(text: Column) -> Column:

@@ -86,53 +86,57 @@ def generic_contact(blocks: DataFrame) -> DataFrame:
                     none_if_empty(F.regexp_extract("_text", EMAIL, 0)).alias("email")))
 
 
-def _hits(pred: dom.Predicate, base_parts: Column) -> Column:
-    """Links of the first elements a selector finds: array<struct<title,url,date>>."""
-    found = F.slice(dom.find_all(dom.els(), pred), 1, HITS_PER_SELECTOR)
+def _found(order: int, pred: dom.Predicate) -> Column:
+    """The first elements a selector finds, with its place among the selectors."""
+    return F.transform(F.slice(dom.find_all(dom.els(), pred), 1, HITS_PER_SELECTOR),
+                       lambda e: F.struct(F.lit(order).alias("order"), e.alias("e")))
 
-    def anchor(e: Column) -> Column:
-        a = F.when(e["tag"] == "a", e).otherwise(dom.find(dom.inside(e), dom.tag_is("a")))
-        return F.struct(e.alias("e"), a.alias("a"))
 
-    def titled(p: Column) -> Column:
-        return F.struct(p["e"].alias("e"), p["a"]["href"].alias("href"),
-                        dom.text_of(p["a"]).alias("title"))
-
-    def link(p: Column) -> Column:
-        return F.struct(p["title"].alias("title"), absolute_url(p["href"], base_parts).alias("url"),
-                        find_date(dom.raw_text(dom.runs_of(p["e"]))).alias("date"))
-
-    linked = F.filter(F.transform(found, anchor), lambda p: p["a"].isNotNull())
-    long_enough = F.filter(F.transform(linked, titled), lambda p: (
-        (F.length(p["title"]) >= MIN_LINK_TEXT) & (p["href"] != "")))
-    return F.filter(F.transform(long_enough, link), lambda x: x["url"] != "")
-
-
-def link_hits(base_parts: Column) -> Column:
-    """Selectors in turn, hits appended, until more than ten links are found."""
-    selectors = (
+@built_once
+def link_hits() -> Column:
+    """array<struct<order,title,url,date>>: the selectors' links in turn, until
+    more than ten are found. Relative links are joined to the parts in ``_base``."""
+    found = F.concat(*[_found(i, pred) for i, pred in enumerate((
         dom.both(dom.tag_is("a"), dom.class_like("title|link|item")),
         dom.both(dom.tag_is("a"),
                  lambda e: F.coalesce(e["href"].rlike(r"(?i)\.(html|shtml|asp)\z"), F.lit(False))),
         dom.tag_is("li"),
         dom.tag_is("tr"),
-        dom.both(dom.tag_is("div"), dom.class_like("item|list|row")),
-    )
-    # aggregate() over a one-element array binds the running list to a name,
-    # so each selector is written once in the plan.
-    out = _hits(selectors[0], base_parts)
-    for pred in selectors[1:]:
-        more = _hits(pred, base_parts)
-        out = F.aggregate(F.array(F.struct(more.alias("more"))), out, lambda acc, m: (
-            F.when(F.size(acc) > ENOUGH_LINKS, acc).otherwise(F.concat(acc, m["more"]))))
-    return out
+        dom.both(dom.tag_is("div"), dom.class_like("item|list|row"))))])
+
+    def anchor(x: Column) -> Column:
+        a = F.when(x["e"]["tag"] == "a", x["e"]).otherwise(
+            dom.find(dom.inside(x["e"]), dom.tag_is("a")))
+        return F.struct(x["order"], x["e"], a.alias("a"))
+
+    def titled(x: Column) -> Column:
+        return F.struct(x["order"], x["e"], x["a"]["href"].alias("href"),
+                        dom.text_of(x["a"]).alias("title"))
+
+    def link(x: Column) -> Column:
+        return F.struct(x["order"], x["title"],
+                        absolute_url(x["href"], F.col("_base")).alias("url"),
+                        let(dom.raw_text(dom.runs_of(x["e"])), find_date).alias("date"))
+
+    linked = F.filter(F.transform(found, anchor), lambda x: x["a"].isNotNull())
+    long_enough = F.filter(F.transform(linked, titled), lambda x: (
+        (F.length(x["title"]) >= MIN_LINK_TEXT) & (x["href"] != "")))
+    hits = F.filter(F.transform(long_enough, link), lambda x: x["url"] != "")
+
+    def until_enough(hs: Column) -> Column:
+        # A selector is tried while those before it have found ten or fewer.
+        tried = F.filter(F.sequence(F.lit(0), F.lit(4)), lambda k: (
+            F.size(F.filter(hs, lambda h: h["order"] < k)) <= ENOUGH_LINKS))
+        return let(F.array_max(tried), lambda k: F.filter(hs, lambda h: h["order"] <= k))
+
+    return let(hits, until_enough)
 
 
 def page_links(blocks: DataFrame, base: str = "url") -> DataFrame:
     """One row per link of a listing page: page columns, link_pos, title, link, date (X11)."""
     kept = dom.other_columns(blocks)
     return (blocks.withColumn("_base", url_parts(F.col(base)))
-            .select(*kept, link_hits(F.col("_base")).alias("_links"))
+            .select(*kept, link_hits().alias("_links"))
             .select(*kept, F.posexplode("_links").alias("link_pos", "_link"))
             .select(*kept, "link_pos", F.col("_link.title").alias("link_title"),
                     F.col("_link.url").alias("link_url"), F.col("_link.date").alias("link_date")))
