@@ -39,6 +39,10 @@ def test_scripts_comments_entities_and_attributes():
     assert next(e for e in els if e[6] == "a")[9] == "/u?a=1&b=2"
 
 
+def test_entities_without_semicolon():
+    assert [t[0] for t in parse_page("<p>a&amp</p><p>&quotb&lt;c &am</p>")[1]] == ["a&", '"b<c &am']
+
+
 def test_broken_markup_does_not_fail():
     for html in ("", "<", "<p", "a<b", "<p title=it's>x</p>", "</p></div>", "<td>" * 50, "<!-- open", "<script>x"):
         parse_page(html)

@@ -30,7 +30,9 @@ def page_blocks(spark, sf):
             .groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("n")))
 
 
-UNESCAPE = "replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"
+# The four escapes the pages use; as in HTML, the closing semicolon may be missing.
+UNESCAPE = ("regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), "
+            "'&quot;?', '\"', 'g'), '&amp;?', '&', 'g')")
 H1 = UNESCAPE.format("trim(regexp_replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '<[^>]*>', '', 'g'))")
 HEAD = UNESCAPE.format("trim(regexp_extract(html, '<title>(.*?)</title>', 1))")
 
