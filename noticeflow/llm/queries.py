@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing
+from . import decontamination, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -29,3 +29,42 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 @query("op3_best_fit_packing")
 def op3(spark, sf):
     return packing.pack_documents(table(spark, sf, "documents"))
+
+
+@query("op10_decontamination", r"""
+WITH lowered AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') t
+  FROM documents),
+docs AS (SELECT row_number() OVER () AS r, doc_id,
+                regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM lowered),
+items AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item, least(len(w), 10) AS n,
+         unnest(list_transform(range(0, greatest(len(w) - 9, 1)),
+                               lambda i: array_to_string(w[i + 1:i + 10], ' '))) AS win
+  FROM items WHERE len(w) > 0),
+places AS (
+  SELECT r, n, unnest(range(0, len(w) - n + 1)) AS i, w FROM docs, (SELECT DISTINCT n FROM windows)
+  WHERE len(w) >= n),
+hits AS (
+  SELECT p.r, p.i, p.n, win.item FROM places p JOIN windows win
+  ON win.n = p.n AND win.win = array_to_string(p.w[p.i + 1:p.i + p.n], ' ')),
+words AS (
+  SELECT r, count(DISTINCT k) AS n_hit
+  FROM (SELECT r, unnest(range(i, i + n)) AS k FROM hits) GROUP BY r),
+named AS (
+  SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list
+  FROM (SELECT DISTINCT r, item FROM hits WHERE item IS NOT NULL) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(list, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN words USING (r) LEFT JOIN named USING (r)
+""")
+def op10(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    found = decontamination.overlaps(docs, table(spark, sf, "benchmark"))
+    return decontamination.digest(found).select(
+        "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
