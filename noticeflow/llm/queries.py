@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, packing
+from . import decontamination, packing, secrets, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -26,11 +26,28 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query("op1_toxicity")
+def op1(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    labels = table(spark, sf, "labels").where(~toxicity.held_out())
+    model = toxicity.fit(docs, labels)
+    scored = toxicity.score(docs.withColumn("held_out", toxicity.held_out()), model, sentences="sentences")
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
+                         "sentences")
+
+
 @query("op3_best_fit_packing")
 def op3(spark, sf):
     return packing.pack_documents(table(spark, sf, "documents"))
 
 
+@query("op4_secrets")
+def op4(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return secrets.digest(secrets.scan(docs)).select(
+        "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
 @query("op10_decontamination", r"""
 WITH lowered AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') t
