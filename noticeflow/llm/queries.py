@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, packing, secrets, toxicity
+from . import decontamination, neardup, packing, secrets, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -36,6 +36,11 @@ def op1(spark, sf):
                          "sentences")
 
 
+@query("op2_near_duplicates")
+def op2(spark, sf):
+    return neardup.classes(table(spark, sf, "documents"))
+
+
 @query("op3_best_fit_packing")
 def op3(spark, sf):
     return packing.pack_documents(table(spark, sf, "documents"))
