@@ -1,25 +1,54 @@
 """A training-data pipeline over documents: STAGES in order, each stored and read by the next.
 
-A stage is called with (spark, docs, sf_dir) and returns documents again; the last returns
-packed pieces. run() applies all stages to the documents table.
+A stage is called with (spark, docs, sf_dir) and returns documents again, with the columns
+it was given; the last returns packed pieces. run() applies all stages to the documents table.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from noticeflow.llm import packing
+from noticeflow.llm import decontamination, neardup, packing, secrets, toxicity
 from noticeflow.llm.storage import saved
 
 
+def with_length(docs: DataFrame) -> DataFrame:
+    """n_chars of the text as it is now."""
+    return docs.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose noisy-or score is below 0.5, fitted on the labelled ones among them."""
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, model, into="_score").where("_score < 0.5").select(*docs.columns)
+
+
+def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates: the one with the least doc_id."""
+    return neardup.deduplicated(docs)
+
+
+def remove_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of test items are cut out; documents mostly made of them go."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return with_length(decontamination.remove_overlaps(docs, items))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by a placeholder; every document stays."""
+    return with_length(secrets.redact(docs))
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Best-fit decreasing packing of what is left."""
+    """Pieces of at most 1024 tokens and their places in sequences."""
     return packing.pack_documents(docs)
 
 
-STAGES = [("packing", pack)]
+STAGES = [("toxicity", remove_toxic), ("near_duplicates", remove_near_duplicates),
+          ("decontamination", remove_benchmarks), ("secrets", redact_secrets), ("packing", pack)]
 
-#: No stage before the last can be written in SQL; tests hold run() against a brute-force version.
+#: Trained weights and compressed sizes are not SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
