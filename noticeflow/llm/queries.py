@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, neardup, packing, secrets, toxicity
+from . import decontamination, main_text, neardup, packing, secrets, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -53,6 +53,13 @@ def op4(spark, sf):
         "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
+@query("op5_main_text")
+def op5(spark, sf):
+    pages = table(spark, sf, "pages").select("page_id", "url", "html")
+    found = main_text.main_text(pages, main_text.learn(pages))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 @query("op10_decontamination", r"""
 WITH lowered AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') t
