@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import context_mixing, decontamination, main_text, neardup, packing, secrets, toxicity
+from . import context_mixing, decontamination, language, main_text, neardup, packing, secrets, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -60,6 +60,13 @@ def op5(spark, sf):
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+@query("op7_language")
+def op7(spark, sf):
+    docs = table(spark, sf, "documents").withColumn("held_out", language.held_out())
+    model = language.fit(docs.where("not held_out").select("text", "lang"))
+    return language.identify(docs.select("doc_id", "held_out", "text"), model).drop("text")
+
+
 @query("op8_context_mixing")
 def op8(spark, sf):
     return context_mixing.score(table(spark, sf, "documents"))
