@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import context_mixing, decontamination, language, main_text, neardup, packing, secrets, toxicity
+from . import context_mixing, decontamination, language, main_text, neardup, neighbours, packing, secrets, toxicity, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -60,6 +60,12 @@ def op5(spark, sf):
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+@query("op6_neighbours")
+def op6(spark, sf):
+    vectors = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    return neighbours.nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 @query("op7_language")
 def op7(spark, sf):
     docs = table(spark, sf, "documents").withColumn("held_out", language.held_out())
@@ -109,3 +115,66 @@ def op10(spark, sf):
     found = decontamination.overlaps(docs, table(spark, sf, "benchmark"))
     return decontamination.digest(found).select(
         "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def stamp(days):
+    return (F.lit("2024-01-01").cast("timestamp").cast("long") + days.cast("long") * 86_400).cast("timestamp")
+
+
+def number(text, start: int):
+    """A number below 65,536 from the digits of a hash, which SQL can draw too."""
+    return F.conv(F.substring(F.md5(text), start, 4), 16, 10).cast("long")
+
+
+@query("op9_url_filters", r"""
+WITH urls AS (
+  SELECT page_id, url, 7919 * page_id % 730 AS day,
+         lower(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1), '\.+$', '')) AS host,
+         list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '') AS parts
+  FROM pages),
+names AS (
+  SELECT DISTINCT 'domain' AS kind, regexp_replace(host, '^(www|m|blog)\.', '') AS key FROM urls WHERE host <> ''
+  UNION
+  SELECT DISTINCT 'prefix', host || '/' || parts[1] FROM urls WHERE host <> '' AND len(parts) > 0),
+drawn AS (
+  SELECT kind, key, CAST('0x' || substr(md5(key), 1, 4) AS BIGINT) % 400 AS a,
+         CAST('0x' || substr(md5(key), 5, 4) AS BIGINT) % 4 AS b,
+         30 + CAST('0x' || substr(md5(key), 9, 4) AS BIGINT) % 200 AS c FROM names),
+spans AS (
+  SELECT kind, key, a AS since, a + c AS until FROM drawn WHERE b < 3
+  UNION ALL SELECT kind, key, a + 300, 1000000 FROM drawn WHERE b = 0),
+asked AS (
+  SELECT page_id, day, unnest(list_concat(
+    list_transform(range(1, len(string_split(host, '.')) + 1),
+                   lambda i: {'kind': 'domain', 'key': array_to_string(string_split(host, '.')[i:], '.')}),
+    list_transform(range(1, len(parts) + 1),
+                   lambda i: {'kind': 'prefix', 'key': host || '/' || array_to_string(parts[1:i], '/')}))) AS k
+  FROM urls WHERE host <> ''),
+met AS (
+  SELECT page_id, count(*) AS n, string_agg(s.kind || ':' || s.key, ' ' ORDER BY length(s.key) DESC, s.kind DESC, s.key DESC) AS rules
+  FROM asked JOIN spans s ON s.kind = k.kind AND s.key = k.key AND day >= since AND day < until
+  GROUP BY page_id)
+SELECT page_id, url, CAST(day AS BIGINT) AS fetched_day, coalesce(n, 0) > 0 AS blocked,
+       CAST(coalesce(n, 0) AS BIGINT) AS n_rules, coalesce(rules, '') AS rules
+FROM urls LEFT JOIN met USING (page_id)
+""")
+def op9(spark, sf):
+    """Pages as captures; their own hosts and first folders as a list that changes over two years."""
+    pages = table(spark, sf, "pages").select("page_id", "url")
+    day = F.lit(7919) * F.col("page_id") % 730
+    captures = pages.withColumn("fetched_day", day).withColumn("fetched_at", stamp(day))
+    host, first = url_filters.host_of("url"), F.get(
+        F.filter(F.split(url_filters.path_of("url"), "/"), lambda x: x != ""), F.lit(0))
+    named = pages.where(host != "")
+    names = (named.select(F.lit("domain").alias("kind"), F.regexp_replace(host, r"^(www|m|blog)\.", "").alias("pattern"))
+             .union(named.where(first.isNotNull()).select(F.lit("prefix"), F.concat_ws("/", host, first))).distinct())
+    a, b, c = number(F.col("pattern"), 1) % 400, number(F.col("pattern"), 5) % 4, number(F.col("pattern"), 9) % 200 + 30
+    entry = lambda action, at: F.struct(F.lit(action).alias("action"), stamp(at).alias("listed_at"))
+    changes = (F.when(b == 0, F.array(entry("add", a), entry("remove", a + c), entry("add", a + 300)))
+               .when(b < 3, F.array(entry("add", a), entry("remove", a + c))))
+    entries = names.select("kind", "pattern", F.explode(changes).alias("e")).select("kind", "pattern", "e.*")
+    found = url_filters.active(captures, entries)
+    return found.select(
+        "page_id", "url", "fetched_day", (F.size("rules") > 0).alias("blocked"),
+        F.size("rules").cast("long").alias("n_rules"),
+        F.array_join(F.transform("rules", lambda r: F.concat_ws(":", r["kind"], r["key"])), " ").alias("rules"))
