@@ -289,12 +289,15 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: i
              & (differing(marks) <= most_differing(registers, least)))
     side = [F.col(c).alias(f"{c}_b") for c in ("node", "n", *marks, *parity, "label")]
     ordered = [F.greatest("node", "node_b").alias("a"), F.least("node", "node_b").alias("b")]
-    have_text = docs.where(F.col("text").isNotNull()).select(node_of("text").alias("node"), "text")
+    # Whole texts move once; hints keep their joins alike at every size.
+    texts = saved(docs.where(F.col("text").isNotNull()).select(node_of("text").alias("node"), "text")
+                  .dropDuplicates(["node"])
+                  .join(met.select("node").distinct().hint("shuffle_hash"), "node", "left_semi"), "texts")
 
     def verify(pairs):
         wanted = pairs.select("a").union(pairs.select("b")).distinct().toDF("node")
-        texts = saved(have_text.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "texts")
-        return saved(verified(pairs, texts, size, least), "verified")
+        few = saved(texts.join(wanted.hint("shuffle_hash"), "node", "left_semi"), "texts")
+        return saved(verified(pairs, few, size, least), "verified")
 
     links = checked = label = None
     rest = met.withColumn("label", F.col("node"))
