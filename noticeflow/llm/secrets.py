@@ -124,6 +124,9 @@ def redact(docs: DataFrame, text: str = "text", **options) -> DataFrame:
         import pandas as pd
         out = []
         for t, ss in zip(texts, spans, strict=True):
+            if not len(ss):  # evaluated for every row, null texts included
+                out.append(t)
+                continue
             kept, at, end = [], 0, -1
             for a, b in sorted((s["value"], s["stop"]) for s in ss):
                 if a >= end:
