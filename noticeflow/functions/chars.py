@@ -51,11 +51,11 @@ def built_once(make: Callable[[], Column]) -> Callable[[], Column]:
     Describing it takes thousands of calls to the JVM, which a streaming job
     would repeat for every micro-batch.
     """
-    made: dict[int, Column] = {}
+    made: dict[str, Column] = {}
 
     @wraps(make)
     def cached() -> Column:
-        app = id(SparkContext._active_spark_context)
+        app = SparkContext.getOrCreate().applicationId
         if app not in made:
             made.clear()
             made[app] = make()

@@ -13,8 +13,7 @@ LANDLINE = rf"0{D}{{2,3}}-?{D}{{7,8}}"
 LOCAL_LINE = rf"{D}{{3,4}}-{D}{{7,8}}"
 EMAIL = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
 LABELLED_PHONE = rf"(?d)(?:电话|手机|联系方式|联系人).*?[:：]?{WS}*([{D}\-]{{7,15}})"
-LANDLINE_PLAIN = rf"0{D}{{2,3}}{D}{{7,8}}"
-PHONE_SHAPES = (MOBILE, LANDLINE, LANDLINE_PLAIN, LOCAL_LINE)
+PHONE_SHAPES = (MOBILE, LANDLINE, LOCAL_LINE)
 COMPANY_LABELS = ("采购人", "供应商", "中标人", "代理机构")
 COMPANY_WORDS = ("公司", "有限公司", "集团", "企业", "单位", "采购人", "代理机构", "供应商", "中标人")
 NAME_LABELS = ("联系人", "项目联系")

@@ -31,11 +31,11 @@ DATE_SHAPES = (
 )
 
 
-def clean_title(title: Column) -> Column:
+def clean_title(title: Column, limit: int | None = TITLE_LIMIT) -> Column:
     flat = strip(F.regexp_replace(title, f"{WS}+", " "))
     bare = F.regexp_replace(flat, r"[\x00-\x1f\x7f-\x9f]", "")
     return (F.when(title.isNull() | (title == ""), F.lit(NO_TITLE))
-            .otherwise(truncate(bare, TITLE_LIMIT)))
+            .otherwise(truncate(bare, limit) if limit else bare))
 
 
 def clean_url(url: Column) -> Column:
@@ -43,10 +43,10 @@ def clean_url(url: Column) -> Column:
     return F.when(bare.startswith("//"), F.concat(F.lit("http:"), bare)).otherwise(bare)
 
 
-def clean_content(content: Column) -> Column:
+def clean_content(content: Column, limit: int | None = CONTENT_LIMIT) -> Column:
     one_gap = F.regexp_replace(text_or_empty(content), f"\\n{WS}*\\n", "\n\n")
     one_space = F.regexp_replace(one_gap, " +", " ")
-    return strip(truncate(one_space, CONTENT_LIMIT, CONTENT_CUT_NOTE))
+    return strip(truncate(one_space, limit, CONTENT_CUT_NOTE) if limit else one_space)
 
 
 def clean_date(date: Column) -> Column:
@@ -54,15 +54,19 @@ def clean_date(date: Column) -> Column:
     return F.translate(strip(text_or_empty(date)), "年月./日", "----")
 
 
-def clean_announcement(df: DataFrame) -> DataFrame:
-    """Clean title, url, content and publish_date; other columns pass through."""
+def clean_announcement(df: DataFrame, title_limit: int | None = TITLE_LIMIT,
+                       content_limit: int | None = CONTENT_LIMIT) -> DataFrame:
+    """Clean title, url, content and publish_date; other columns pass through.
+
+    A limit of None keeps the whole text.
+    """
     date = F.col("publish_date")
     if "list_date" in df.columns:
         date = first_filled(date, F.col("list_date"))
     return df.withColumns({
-        "title": clean_title(F.col("title")),
+        "title": clean_title(F.col("title"), title_limit),
         "url": clean_url(F.col("url")),
-        "content": clean_content(F.col("content")),
+        "content": clean_content(F.col("content"), content_limit),
         "publish_date": clean_date(date),
     })
 
@@ -121,8 +125,9 @@ def json_list_join(json_text: Column) -> Column:
     return text_or_empty(F.array_join(F.from_json(json_text, "array<string>"), ", "))
 
 
-def truncate_detail(content: Column) -> Column:
-    return truncate(text_or_empty(content), DETAIL_LIMIT)
+def truncate_detail(content: Column, limit: int | None = DETAIL_LIMIT) -> Column:
+    whole = text_or_empty(content)
+    return truncate(whole, limit) if limit else whole
 
 
 def short_title(title: Column) -> Column:

@@ -59,11 +59,14 @@ def role_distribution(m: DataFrame) -> DataFrame:
     return m.groupBy("role").agg(F.count(F.lit(1)).alias("count"))
 
 
-def with_project_counts(c: DataFrame, m: DataFrame) -> DataFrame:
+def with_project_counts(c: DataFrame, m: DataFrame, some: bool = False) -> DataFrame:
     """Cards with their number of distinct announcements, 0 for none.
 
-    Mentions are reduced to one row per card before they meet the cards.
+    Mentions are reduced to one row per card before they meet the cards. If
+    ``c`` holds only ``some`` cards, mentions of others drop out before that.
     """
+    if some:
+        m = m.join(c.select(F.col("id").alias("business_card_id")), "business_card_id", "left_semi")
     counts = (m.groupBy("business_card_id")
               .agg(F.countDistinct("announcement_id").alias("projects_count"))
               .withColumnRenamed("business_card_id", "id"))
@@ -72,8 +75,11 @@ def with_project_counts(c: DataFrame, m: DataFrame) -> DataFrame:
 
 
 def cards_of_company(c: DataFrame, m: DataFrame, company: str, like: bool = False,
-                     limit: int = CARD_LIMIT) -> DataFrame:
-    """Cards of a company, most active first; blank company gives none."""
+                     limit: int | None = CARD_LIMIT) -> DataFrame:
+    """Cards of a company, most active first; blank company gives none.
+
+    A limit of None gives them all.
+    """
     company = (company or "").strip()
     if not company:
         where = F.lit(False)
@@ -81,14 +87,14 @@ def cards_of_company(c: DataFrame, m: DataFrame, company: str, like: bool = Fals
         where = like_text(F.col("company"), company)
     else:
         where = F.col("company") == company
-    return (with_project_counts(c.filter(where), m)
-            .orderBy(F.desc("projects_count"), F.desc_nulls_last("updated_at"), F.asc("id"))
-            .limit(limit))
+    found = (with_project_counts(c.filter(where), m, some=True)
+             .orderBy(F.desc("projects_count"), F.desc_nulls_last("updated_at"), F.asc("id")))
+    return found if limit is None else found.limit(limit)
 
 
 def exported_cards(c: DataFrame, m: DataFrame, q: str = "") -> DataFrame:
     """Every card with joined phones and e-mails, by company and name."""
-    return (with_project_counts(c.filter(card_matches(q)), m)
+    return (with_project_counts(c.filter(card_matches(q)), m, some=bool(q))
             .select("company", "contact_name", F.array_join("phones", ", ").alias("phones"),
                     F.array_join("emails", ", ").alias("emails"), "projects_count",
                     "created_at", "updated_at")
@@ -139,11 +145,11 @@ def card_list(c: DataFrame, m: DataFrame, a: DataFrame | None = None, q: str = "
     those of other cards.
     """
     listed = _listed_cards(c, m, a, q, role, province)
-    page = settled(
+    page = broadcast_if_small(settled(
         listed.groupBy(*KEY)
         .agg(F.max("id").alias("id"), F.max("created_at").alias("created_at"),
              F.max("updated_at").alias("updated_at"))
-        .orderBy(*_page_order()).offset(offset).limit(limit), limit)
+        .orderBy(*_page_order()).offset(offset).limit(limit)))
     on_page = c.select("id", *KEY, "phones", "emails").join(page.select(*KEY), KEY)
     ids = broadcast_if_small(on_page.select(F.col("id").alias("business_card_id"), *KEY))
     counts = (_listed_mentions(m.join(ids, "business_card_id"), a, role, province)
@@ -181,15 +187,15 @@ def same_identity(c: DataFrame, card: int) -> DataFrame:
 
 def card_history(c: DataFrame, m: DataFrame, a: DataFrame, card: int) -> DataFrame:
     """The same over every card of that identity."""
-    cards = broadcast_if_small(same_identity(c, card).select(F.col("id").alias("business_card_id")))
+    cards = same_identity(c, card).select(F.col("id").alias("business_card_id"))
     return _history(m.join(cards, "business_card_id"), a)
 
 
 def _history(wanted: DataFrame, a: DataFrame) -> DataFrame:
-    """One identity's mentions are few next to all announcements: they are
-    broadcast when a count proves it, and announcements are not shuffled."""
+    """One identity's mentions against all announcements; the sizes seen at run
+    time decide how they meet."""
     found = a.select(F.col("id").alias("announcement_id"), "title", "url", "source", "publish_date")
-    narrow = broadcast_if_small(wanted.select("announcement_id", "role"))
+    narrow = wanted.select("announcement_id", "role")
     return (found.join(narrow, "announcement_id")
             .select(F.col("announcement_id").alias("id"), "title", "url", "source",
                     "publish_date", "role")

@@ -8,7 +8,6 @@ from ..session import shared_dir
 
 BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 64 * 1024 * 1024
-PAGE_ROWS = 1_000
 
 
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
@@ -30,11 +29,7 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if is_small(df, rows) else df
 
 
-def settled(df: DataFrame, limit: int) -> DataFrame:
-    """Evaluate a result of at most ``limit`` rows once, so that it can be used
-    several times. A page for a screen travels through the driver, as its rows
-    will anyway; a larger one is written to the checkpoint folder."""
-    if limit <= PAGE_ROWS:
-        return F.broadcast(df.sparkSession.createDataFrame(df.collect(), df.schema))
+def settled(df: DataFrame) -> DataFrame:
+    """Evaluate a result once, into the checkpoint folder, so that it can be used several times."""
     shared_dir(df.sparkSession)
     return df.checkpoint()

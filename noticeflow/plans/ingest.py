@@ -7,14 +7,15 @@ from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.chars import first_filled, strip
+from ..functions.chars import contains_any, first_filled, strip
 from ..functions.text import clean_announcement, clean_url, publish_day
 from ..operators.cards import card_id, distinct_mentions, seen_cards
-from ..operators.dedupe import insert_or_ignore
+from ..operators.dedupe import unseen
 from ..operators.generic_pages import page_text
 from ..operators.html_blocks import html_blocks
-from ..operators.refused import refused
+from ..operators.refused import REFUSAL_WORDS, refused
 from ..schema import ANNOUNCEMENTS
+from ..session import shared_dir
 from ..sources.state import WHOLE_CARDS_EVERY, State
 from .notice import card_candidates, notices
 
@@ -35,18 +36,53 @@ class Ingested:
 
 
 def prepared(pages: DataFrame) -> DataFrame:
-    """Clean urls and the optional list columns; pages without url or markup drop out."""
+    """Clean urls and the optional list columns; pages without url drop out."""
     for name, kind in _OPTIONAL.items():
         if name not in pages.columns:
             pages = pages.withColumn(name, F.lit(None).cast(kind))
     return (pages.select(clean_url(F.col("url")).alias("url"), "html", *_OPTIONAL,
                          F.col("ingest_seq").cast("long").alias("ingest_seq"))
-            .filter((F.col("url") != "") & (F.col("html") != "")))
+            .filter(F.col("url") != ""))
+
+
+def may_be_refused(html: Column) -> Column:
+    """Markup that could hold the wording of a refusal; without it a page is none."""
+    return contains_any(html, (*REFUSAL_WORDS, "&#"))
 
 
 def new_pages(pages: DataFrame, stored: DataFrame) -> DataFrame:
-    """First page of every unknown url. Known pages drop out before parsing."""
-    return insert_or_ignore(stored, prepared(pages), ["url"], "ingest_seq")
+    """Pages to parse for every unknown url, with the flag ``contested``.
+
+    Urls are counted and compared with the stored ones on (url, ingest_seq)
+    alone. A url with one page needs no more. Of several copies the first that
+    is not refused is wanted: those are the first copy without any wording of a
+    refusal and the earlier ones with it, which only parsing can judge. Pages
+    without markup are no copies.
+    """
+    rows = prepared(pages)
+    shared_dir(rows.sparkSession)
+    copies = (rows.groupBy("url").agg(F.min("ingest_seq").alias("ingest_seq"),
+                                      F.count(F.lit(1)).alias("copies")))
+    fresh = unseen(copies, stored, ["url"]).checkpoint()
+    has_markup = F.coalesce(F.col("html") != "", F.lit(False))
+    alone = (rows.join(fresh.filter("copies = 1").select("url", "ingest_seq"), ["url", "ingest_seq"], "left_semi")
+             .filter(has_markup).withColumn("contested", F.lit(False)))
+    several = (rows.filter(has_markup).join(fresh.filter("copies > 1").select("url"), "url", "left_semi")
+               .withColumn("_doubt", may_be_refused(F.col("html"))))
+    sure = several.filter("not _doubt").groupBy("url").agg(F.min("ingest_seq").alias("_sure"))
+    contested = (several.join(sure, "url", "left")
+                 .filter(F.col("_sure").isNull() | (F.col("ingest_seq") == F.col("_sure"))
+                         | (F.col("_doubt") & (F.col("ingest_seq") < F.col("_sure"))))
+                 .drop("_doubt", "_sure").withColumn("contested", F.lit(True)))
+    return alone.select(*rows.columns, "contested").unionByName(contested.select(*rows.columns, "contested"))
+
+
+def first_good(read: DataFrame) -> DataFrame:
+    """Pages that are not refused, the first copy of each url."""
+    good = read.filter(~F.col("refused"))
+    firsts = (good.filter("contested").groupBy("url").agg(F.min("ingest_seq").alias("ingest_seq")))
+    return good.filter(~F.col("contested")).unionByName(
+        good.filter("contested").join(firsts, ["url", "ingest_seq"], "left_semi").select(*good.columns))
 
 
 def refused_page() -> Column:
@@ -63,14 +99,18 @@ def parsed_pages(fresh: DataFrame, fill_gaps: bool = False) -> DataFrame:
     return notices(blocks, fill_gaps)
 
 
-def announcements_of(flat: DataFrame, now: datetime) -> DataFrame:
-    """Cleaned announcement rows; list title and date win over the page's."""
+def announcements_of(flat: DataFrame, now: datetime, title_limit: int | None = None,
+                     content_limit: int | None = None) -> DataFrame:
+    """Cleaned announcement rows; list title and date win over the page's.
+
+    Whole texts are stored unless limits are given.
+    """
     rows = flat.select(
         strip(first_filled(F.col("list_title"), F.col("title"))).alias("title"), "url", "content",
         strip(first_filled(F.col("list_date"), F.col("publish_date"))).alias("publish_date"),
         F.lit(INGEST_SOURCE).alias("source"),
         F.coalesce("scraped_at", F.lit(now)).alias("scraped_at"), "ingest_seq")
-    return (clean_announcement(rows)
+    return (clean_announcement(rows, title_limit, content_limit)
             .withColumn("id", announcement_id(F.col("url")))
             .withColumn("publish_day", publish_day(F.col("publish_date")))
             .withColumn("created_at", F.lit(now))
@@ -99,7 +139,7 @@ def mentions_of(kept: DataFrame) -> DataFrame:
                        "announcement_id", "role")
 
 
-def ingest(pages: DataFrame, state: State, batch: int | None = None,
+def ingest(pages: DataFrame, state: State, writer: str | None = None, writer_batch: int | None = None,
            now: datetime | None = None, fill_gaps: bool = False, keep_suppliers: bool = False,
            whole_cards_every: int = WHOLE_CARDS_EVERY) -> Ingested | None:
     """Run one batch against the stored state and commit it.
@@ -107,35 +147,38 @@ def ingest(pages: DataFrame, state: State, batch: int | None = None,
     Pages are parsed once: the flat notices are written next to the state and
     announcements, cards and mentions are made from that table, and the
     counters read from it. Refused pages stay in it, flagged, as the table of
-    rejects. A batch number that is already committed is skipped and gives None.
+    rejects; of several copies of a url the first one not refused is stored.
+
+    The state numbers its batches itself. A writer that may run a batch again
+    names itself and its own number: what this pair has already committed is
+    skipped and gives None.
     """
     stored = state.view()
-    batch = stored.batch + 1 if batch is None else batch
-    if batch <= stored.batch:
+    if writer is not None and (writer, writer_batch) in stored.written:
         return None
+    batch = state.claim()
     now = now or datetime.now(timezone.utc).replace(tzinfo=None)
-    # Listed before this batch writes next to them.
-    announcements, cards = stored.announcements(), stored.cards()
 
-    blocks = html_blocks(new_pages(pages, announcements)).withColumn("refused", refused_page())
+    blocks = html_blocks(new_pages(pages, stored.announcements())).withColumn("refused", refused_page())
     read = notices(blocks, fill_gaps)
     state.stage("notices", batch, read)
     read = state.staged("notices", batch, read.schema)
-    flat = read.filter(~F.col("refused"))
+    flat = first_good(read)
 
     state.stage("announcements", batch, announcements_of(flat, now))
     candidates = candidates_of(flat)
     state.stage("candidates", batch, candidates)
     candidates = state.staged("candidates", batch, candidates.schema)
     kept = kept_candidates(candidates)
-    whole = state.add_cards(batch, seen_cards(kept, F.lit(now)), cards, whole_cards_every)
+    covers = state.add_cards(batch, seen_cards(kept, F.lit(now)), stored, whole_cards_every)
     # The announcements are new, so none of their mentions can be stored.
     state.stage("mentions", batch, distinct_mentions(mentions_of(kept)))
     if keep_suppliers:
         state.stage("winners", batch, winners_of(candidates))
-    state.commit(batch, whole)
+    state.commit(batch, covers, writer, writer_batch)
 
-    n = read.agg(F.count(F.lit(1)).alias("fresh"), F.count_if("refused").alias("refused")).first()
+    new = state.staged("announcements", batch, ANNOUNCEMENTS).count()
+    n_refused = read.filter("refused").count()
     n_pages = pages.count()
-    return Ingested(pages=n_pages, new_notices=n.fresh - n.refused, skipped=n_pages - n.fresh,
-                    refused=n.refused, card_writes=kept.count())
+    return Ingested(pages=n_pages, new_notices=new, skipped=n_pages - new - n_refused,
+                    refused=n_refused, card_writes=kept.count())

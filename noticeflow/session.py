@@ -33,8 +33,8 @@ def build_session(app_name: str = "noticeflow", master: str | None = None,
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named in spark.checkpoint.dir.
 
-    Only where the session names none (a bare local test session) is a local
-    folder made, and it is then set as the session's checkpoint folder.
+    Only where the session names none and is local (a bare test session) is a
+    local folder made, and it is then set as the session's checkpoint folder.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -43,6 +43,8 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     current = spark.sparkContext.getCheckpointDir()
     if not current:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         current = tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.sparkContext.setCheckpointDir(current)
     return current

@@ -22,7 +22,6 @@ CARD_HEADINGS = {"company": "公司名称", "contact_name": "联系人", "phones
 TOTAL_LABELS = {"announcements": "公告总数", "contacts": "联系人总数"}
 ANNOUNCEMENT_COLUMNS = ("title", "url", "publish_date", "source", "scraped_at")
 CONTACT_COLUMNS = ("company", "contact_name", "phone", "email")
-EXPORT_ROWS = 10_000
 
 
 def write(df: DataFrame, path: str, fmt: str = "csv", by: str | None = None) -> None:
@@ -76,10 +75,13 @@ def export_summary(a: DataFrame, contacts: DataFrame, path: str, fmt: str = "csv
 
 
 def export_all(a: DataFrame, contacts: DataFrame, path: str, fmt: str = "csv",
-               seq: str = "ingest_seq") -> None:
-    """The newest 10,000 announcements and contacts, and the summary."""
-    export_announcements(newest(a, EXPORT_ROWS, seq), f"{path}/announcements", fmt)
-    export_contacts(newest(contacts, EXPORT_ROWS, seq), f"{path}/contacts", fmt)
+               seq: str = "ingest_seq", rows: int | None = None) -> None:
+    """Announcements and contacts, and the summary; all rows, or the newest ``rows``."""
+    def recent(df: DataFrame) -> DataFrame:
+        return df if rows is None else newest(df, rows, seq)
+
+    export_announcements(recent(a), f"{path}/announcements", fmt)
+    export_contacts(recent(contacts), f"{path}/contacts", fmt)
     export_summary(a, contacts, f"{path}/summary", fmt)
 
 

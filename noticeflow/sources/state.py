@@ -6,15 +6,21 @@ A state folder holds
   batch N;
 * ``card_changes/batch=N``: the cards batch N has seen, as card rows;
 * ``cards/batch=N``: the whole card table as of batch N, written now and then;
+* ``claims/N``: an empty file that the writer of batch N has created;
 * ``commits``: one row per finished batch, written last.
 
-Cards are read as the last whole table united with the changes after it:
-uniting cards does not depend on order or grouping, so a batch writes what it
-has seen and the whole table is rewritten only every few batches.
+A batch number belongs to the state: a writer claims the next free one, which a
+file system grants to one writer only. The row of a commit names the writer and
+the writer's own batch, so a replay is known by these two, whatever other
+writers have stored in between.
 
-Readers look only at committed batches, so a batch that dies half-way is
-invisible and is overwritten when it runs again. A batch is committed once:
-replaying it changes nothing.
+Cards are read as the last whole table united with the changes it does not
+cover: uniting cards does not depend on order or grouping, so a batch writes
+what it has seen and the whole table is rewritten only every few batches.
+
+Readers look only at committed batches: a batch that dies half-way is invisible,
+and its number is not used again. Writers that run at once never overwrite each
+other, but both may store a url that neither has seen.
 """
 
 from __future__ import annotations
@@ -27,7 +33,10 @@ from ..operators.cards import combine_cards
 from ..schema import ANNOUNCEMENTS, CARDS, CONTACTS, MENTIONS
 
 COMMITS = T.StructType([T.StructField("batch", T.LongType()),
-                        T.StructField("whole_cards", T.BooleanType())])
+                        T.StructField("whole_cards", T.BooleanType()),
+                        T.StructField("covers", T.ArrayType(T.LongType())),
+                        T.StructField("writer", T.StringType()),
+                        T.StructField("writer_batch", T.LongType())])
 WHOLE_CARDS_EVERY = 16
 
 
@@ -38,19 +47,26 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 @dataclass(frozen=True)
 class View:
-    """The tables as of one committed batch; -1 is the empty state."""
+    """The tables as of some committed batches; none is the empty state."""
 
     spark: SparkSession
     path: str
-    batch: int
-    whole: int      # last batch that wrote the whole card table
-
-    def _appended(self, name: str, schema: T.StructType, after: int = -1) -> DataFrame:
-        if self.batch <= after or not _exists(self.spark, f"{self.path}/{name}"):
+    batches: tuple[int, ...] = ()
+    whole: int = -1                     # last batch that wrote the whole card table
+    covers: tuple[int, ...] = ()        # the batches in that table
+    written: frozenset = frozenset()    # (writer, writer's batch) of what is committed
+
+    @property
+    def batch(self) -> int:
+        return max(self.batches, default=-1)
+
+    def _appended(self, name: str, schema: T.StructType, but: tuple[int, ...] = ()) -> DataFrame:
+        wanted = sorted(set(self.batches) - set(but))
+        if not wanted or not _exists(self.spark, f"{self.path}/{name}"):
             return self.spark.createDataFrame([], schema)
         wide = T.StructType(schema.fields + [T.StructField("batch", T.LongType())])
         return (self.spark.read.schema(wide).parquet(f"{self.path}/{name}")
-                .filter((F.col("batch") > after) & (F.col("batch") <= self.batch)).drop("batch"))
+                .filter(F.col("batch").isin(wanted)).drop("batch"))
 
     def announcements(self) -> DataFrame:
         return self._appended("announcements", ANNOUNCEMENTS)
@@ -64,9 +80,10 @@ class View:
     def cards(self) -> DataFrame:
         table = (self.spark.read.schema(CARDS).parquet(f"{self.path}/cards/batch={self.whole}")
                  if self.whole >= 0 else self.spark.createDataFrame([], CARDS))
-        if self.whole == self.batch:
+        if set(self.covers) >= set(self.batches):
             return table
-        return combine_cards(table.unionByName(self._appended("card_changes", CARDS, self.whole)))
+        return combine_cards(table.unionByName(
+            self._appended("card_changes", CARDS, self.covers)))
 
 
 @dataclass(frozen=True)
@@ -76,12 +93,24 @@ class State:
 
     def view(self) -> View:
         """What is committed now."""
-        batch, whole = -1, -1
-        if _exists(self.spark, f"{self.path}/commits"):
-            top = self.spark.read.schema(COMMITS).json(f"{self.path}/commits").agg(
-                F.max("batch"), F.max(F.when(F.col("whole_cards"), F.col("batch")))).first()
-            batch, whole = (-1 if n is None else n for n in top)
-        return View(self.spark, self.path, batch, whole)
+        if not _exists(self.spark, f"{self.path}/commits"):
+            return View(self.spark, self.path)
+        # One short row per batch.
+        rows = self.spark.read.schema(COMMITS).json(f"{self.path}/commits").collect()
+        whole = max((r for r in rows if r.whole_cards), key=lambda r: r.batch, default=None)
+        return View(self.spark, self.path, tuple(sorted(r.batch for r in rows)),
+                    whole.batch if whole else -1, tuple(whole.covers or ()) if whole else (),
+                    frozenset((r.writer, r.writer_batch) for r in rows if r.writer is not None))
+
+    def claim(self) -> int:
+        """The next free batch number; no two writers get the same."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/claims")
+        files = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        files.mkdirs(folder)
+        number = 1 + max((int(f.getPath().getName()) for f in files.listStatus(folder)), default=-1)
+        while not files.createNewFile(self.spark._jvm.org.apache.hadoop.fs.Path(folder, str(number))):
+            number += 1
+        return number
 
     def committed(self) -> int:
         """Number of the last committed batch, -1 when there is none."""
@@ -110,16 +139,20 @@ class State:
     def stage(self, name: str, batch: int, df: DataFrame) -> None:
         df.write.mode("overwrite").parquet(f"{self.path}/{name}/batch={batch}")
 
-    def add_cards(self, batch: int, seen: DataFrame, before: DataFrame,
-                  every: int = WHOLE_CARDS_EVERY) -> bool:
-        """Stage what a batch has seen; whether it wrote the whole table, too."""
+    def add_cards(self, batch: int, seen: DataFrame, view: View,
+                  every: int = WHOLE_CARDS_EVERY) -> tuple[int, ...] | None:
+        """Stage what a batch has seen; the batches covered by the whole table if it wrote that, too."""
+        before = view.cards()
         self.stage("card_changes", batch, combine_cards(seen))
         if (batch + 1) % every:
-            return False
+            return None
         changes = self.staged("card_changes", batch, CARDS)
         self.stage("cards", batch, combine_cards(before.unionByName(changes)))
-        return True
+        return (*view.batches, batch)
 
-    def commit(self, batch: int, whole_cards: bool = False) -> None:
-        (self.spark.createDataFrame([(batch, whole_cards)], COMMITS).coalesce(1)
+    def commit(self, batch: int, covers: tuple[int, ...] | None = None,
+               writer: str | None = None, writer_batch: int | None = None) -> None:
+        """Make a batch visible: one file, written last."""
+        row = (batch, covers is not None, list(covers) if covers else None, writer, writer_batch)
+        (self.spark.createDataFrame([row], COMMITS).coalesce(1)
          .write.mode("append").json(f"{self.path}/commits"))

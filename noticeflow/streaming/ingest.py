@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.text import clean_url
+from ..operators.dedupe import dedupe_first
 from ..plans.ingest import ingest
 from ..schema import PAGES
 from ..sources.state import State
@@ -26,11 +27,12 @@ def ingest_stream(pages: DataFrame, state: State, checkpoint: str,
                   available_now: bool = True, interval: str = "1 minute") -> StreamingQuery:
     """Every micro-batch runs the batch ingest against the stored snapshot.
 
-    The micro-batch number is the state's batch number, so a batch replayed
-    after a lost driver is recognised and not applied twice.
+    The writer is the progress folder and its batch the micro-batch number, so a
+    batch replayed after a lost driver is recognised and not applied twice, and
+    other streams and batch runs may write to the same state in between.
     """
     def run(batch: DataFrame, number: int) -> None:
-        ingest(batch, state, batch=number)
+        ingest(batch, state, writer=checkpoint, writer_batch=number)
 
     writer = pages.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     writer = (writer.trigger(availableNow=True) if available_now
@@ -42,6 +44,11 @@ def first_seen(pages: DataFrame, delay: str = "1 day", time: str = "scraped_at",
                spread_by: str | None = None) -> DataFrame:
     """First page per cleaned url within the watermark delay.
 
+    State is bounded by the delay, and so is the answer: a page that arrives
+    later than the delay is dropped even if its url is new, and copies further
+    apart than the delay both pass. Where neither will do use
+    ``first_seen_table``, whose memory is what it has written.
+
     ``spread_by`` names a column that differs between copies of one url. With
     it copies are first dropped in 64 parts of each url and then overall, so a
     url with a third of all pages keeps 64 tasks busy instead of one, at the
@@ -52,3 +59,26 @@ def first_seen(pages: DataFrame, delay: str = "1 day", time: str = "scraped_at",
         part = F.pmod(F.xxhash64(spread_by), F.lit(64))
         once = once.withColumn("_part", part).dropDuplicatesWithinWatermark(["url", "_part"]).drop("_part")
     return once.dropDuplicatesWithinWatermark(["url"])
+
+
+def first_seen_table(pages: DataFrame, out: str, checkpoint: str, order: str = "ingest_seq",
+                     available_now: bool = True, interval: str = "1 minute") -> StreamingQuery:
+    """First page per cleaned url however late it is, appended to ``out``.
+
+    A micro-batch keeps the first of its pages for each url that no earlier
+    micro-batch has written. It owns the folder of its number and overwrites
+    it, so a replay changes nothing. A hot url costs one row per map task.
+    """
+    def run(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        rows = dedupe_first(batch.withColumn("url", clean_url(F.col("url"))), ["url"], order)
+        if number:
+            wide = T.StructType([T.StructField("url", T.StringType()), T.StructField("batch", T.LongType())])
+            before = spark.read.schema(wide).parquet(out).filter(F.col("batch") < number).select("url")
+            rows = rows.join(before, "url", "left_anti")
+        rows.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    writer = pages.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    writer = (writer.trigger(availableNow=True) if available_now
+              else writer.trigger(processingTime=interval))
+    return writer.start()

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from noticeflow.operators import dedupe, notices, sizing
-from noticeflow.plans.search import SearchParams, code_of, search_notices
+from noticeflow.plans.search import Kind, SearchParams, search_notices
 
 COLUMNS = "id long, title string, content string, url string, publish_date string, source string, ingest_seq long"
 ROWS = [
@@ -82,10 +82,13 @@ def test_search_params(a):
     assert ids(search_notices(typed, SearchParams("abc", search_type="title", time_type="1month"), "2024-02-05")) == []
     custom = SearchParams("", time_type="custom", start_date="2024:01:05", end_date="2024-01-05", pin_mu=2)
     assert ids(search_notices(typed, custom, "2020-01-01")) == [2]
-    for bad in (SearchParams("x", time_type="custom"), SearchParams("x", bid_type="nope"), SearchParams("x", pin_mu=" ")):
+    for bad in (SearchParams("x", time_type="custom"), SearchParams("x", bid_type="nope"), SearchParams("x", pin_mu=" "),
+                SearchParams("x", bid_type=99), SearchParams("x", time_type="7"), SearchParams("x", search_type=3)):
         with pytest.raises(ValueError):
             bad.predicate("2024-01-01")
-    assert code_of("11", {}, "x") == 11
+    assert Kind.of("11") is Kind.of(11) is Kind.of("成交公告") is Kind.DEAL
+    other = a.filter(Kind.of("其他公告").holds())
+    assert set(ids(other)).isdisjoint(i for k in range(1, 13) if k != 9 for i in ids(a.filter(Kind.of(k).holds())))
 
 
 # ------------------------------------------------------------------- dedupe

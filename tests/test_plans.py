@@ -12,10 +12,11 @@ PYTHON = {"page_blocks", "page_titles", "page_details", "page_links", "page_cont
           "table_contacts", "text_contacts", "notice_contacts", "notice_text", "flat_notices", "notice_candidates",
           "notice_winners", "listed_notices"}
 EAGER = {"ingest", "ingest_counters", "ingest_stream", "stream_dedupe", "export_by_province", "export_by_day",
-         "dedupe_title_or_url", "notice_cards"}
+         "dedupe_title_or_url", "notice_cards", "ingest_mixed", "stream_dedupe_late", "export_all",
+         "export_all_contacts", "export_all_summary"}
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - EAGER))
+@pytest.mark.parametrize("name", sorted(set(entry.QUERIES) - EAGER))
 def test_plan_shape(spark, name):
     text = plan_of(entry.queries()[name](spark, SF))
     assert "BroadcastNestedLoopJoin" not in text and "CartesianProduct" not in text
@@ -58,3 +59,11 @@ def test_distinct_counts_are_spread_over_announcements(spark):
     assert re.search(r"hashpartitioning\(company_key#\d+L, announcement_id#\d+L", text)
     # No names are shuffled with the mentions.
     assert "hashpartitioning(company#" in text and not re.search(r"hashpartitioning\(company#\d+, ann", text)
+
+
+def test_counts_of_some_cards_read_their_mentions_only(spark):
+    for name in ("cards_by_company", "cards_by_company_like"):
+        text = plan_of(entry.queries()[name](spark, SF))
+        assert text.count("l_suppkey") and "LeftSemi" in text
+        # The semi join stands below the count of mentions.
+        assert text.index("HashAggregate(keys=[business_card_id") < text.index("LeftSemi")

@@ -99,9 +99,9 @@ def test_cards_do_not_depend_on_when_the_table_is_rewritten(spark, tmp_path, eve
     state = State(spark, str(tmp_path))
     for n, rows in enumerate([[card("甲", ["1"], 1)], [card("甲", ["2"], 2), card("乙", [], 2)], [card("乙", ["3"], 3)],
                               [card("甲", ["1"], 4)]]):
-        state.commit(n, state.add_cards(n, spark.createDataFrame(rows, CARDS), state.cards(), every))
+        state.commit(n, state.add_cards(n, spark.createDataFrame(rows, CARDS), state.view(), every))
         # Changes of a batch that is not committed are not seen.
-        state.add_cards(n + 1, spark.createDataFrame([card("丙", ["9"], 9)], CARDS), state.cards(), every)
+        state.add_cards(n + 1, spark.createDataFrame([card("丙", ["9"], 9)], CARDS), state.view(), every)
     got = sorted((r.company, r.phones, r.created_at.day, r.updated_at.day) for r in state.cards().collect())
     assert got == [("乙", ["3"], 2, 3), ("甲", ["1", "2"], 1, 4)]
 

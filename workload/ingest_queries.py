@@ -11,7 +11,7 @@ from noticeflow.plans.ingest import ingest as run_ingest
 from noticeflow.schema import PAGES
 from noticeflow.session import shared_dir
 from noticeflow.sources.state import State
-from noticeflow.streaming.ingest import first_seen, ingest_stream, page_stream
+from noticeflow.streaming.ingest import first_seen, first_seen_table, ingest_stream, page_stream
 
 from .derived import N
 from .derived import notice_pages as derived_notices
@@ -91,6 +91,31 @@ def ingest_streamed(spark, sf):
     return _stored(state)
 
 
+@query("ingest_mixed", STORED_SQL)
+def ingest_mixed(spark, sf):
+    """One state: a batch run, two streams with progress folders of their own, and a replay.
+
+    Every seventh page first arrives as a refusal; its good copy must be stored.
+    """
+    pages = derived_notices(spark, sf).select(
+        "url", "html", F.lit("").alias("list_title"), F.lit("").alias("list_date"),
+        F.lit(NOW).alias("scraped_at"), "ingest_seq")
+    refusals = (pages.filter(F.col("ingest_seq") % 7 == 0)
+                .withColumn("html", F.lit("<body>访问过于频繁，请稍后再试</body>"))
+                .withColumn("ingest_seq", F.col("ingest_seq") - 1_000_000_000))
+    both, state = pages.union(refusals), State(spark, _folder(spark, "state"))
+    part = F.pmod(F.xxhash64("url"), F.lit(3))
+    run_ingest(both.filter(part == 0), state, now=NOW)
+    for n in (1, 2):
+        arriving, progress = _folder(spark, "arriving"), _folder(spark, "progress")
+        both.filter(part == n).repartition(2, "url").write.parquet(arriving)
+        for _ in range(2):  # the second run finds nothing new
+            ingest_stream(page_stream(spark, arriving, PAGES), state, progress).awaitTermination()
+    run_ingest(both.filter(part == 1), state, writer="again", writer_batch=0, now=NOW)
+    run_ingest(both.filter(part == 1), state, writer="again", writer_batch=0, now=NOW)
+    return _stored(state)
+
+
 @query("stream_dedupe", """SELECT DISTINCT CASE WHEN url LIKE 'https:%' THEN url ELSE 'http:' || substr(url, 6) END AS url
 FROM pages""")
 def stream_dedupe(spark, sf):
@@ -106,3 +131,18 @@ def stream_dedupe(spark, sf):
            .trigger(availableNow=True).start(out))
     run.awaitTermination()
     return spark.read.schema("url string").parquet(out)
+
+
+@query("stream_dedupe_late", """SELECT DISTINCT CASE WHEN url LIKE 'https:%' THEN url
+  ELSE 'http:' || substr(url, 6) END AS url, 1 AS n FROM pages""")
+def stream_dedupe_late(spark, sf):
+    """Copies in later micro-batches carry times years older: none is lost and none passes twice."""
+    folder, out = _folder(spark, "arriving"), _folder(spark, "seen")
+    pages = table(spark, sf, "pages").select(
+        "page_id", F.regexp_replace("url", "^http:", "").alias("url"), F.col("page_id").alias("ingest_seq"))
+    for n, rows in enumerate((pages.filter("page_id % 2 = 0"), pages)):
+        (rows.withColumn("scraped_at", F.timestamp_seconds(F.lit(1_700_000_000 - n * 100_000_000) + F.col("page_id")))
+         .coalesce(2).write.mode("append").parquet(folder))
+        stream = page_stream(spark, folder, spark.read.parquet(folder).schema, files_per_trigger=1)
+        first_seen_table(stream, out, f"{out}-progress").awaitTermination()
+    return spark.read.parquet(out).groupBy("url").agg(F.count(F.lit(1)).alias("n"))

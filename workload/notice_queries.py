@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from noticeflow.functions import text
 from noticeflow.operators import dedupe, notices
-from noticeflow.plans.search import SearchParams, search_notices
+from noticeflow.plans.search import Field, Goods, Kind, Period, SearchParams, search_notices
 from noticeflow.session import shared_dir
-from noticeflow.sources import exports
+from noticeflow.sources import exports, keywords
 
 from .registry import query
 from .roles import A, D, K, announcements, contacts, mentions, table, texts
@@ -135,13 +138,48 @@ def newest_contacts(spark, sf):
     return notices.newest(contacts(spark, sf), 100, company="NATION_3")
 
 
-@query("search_params", f"""WITH {A} SELECT id, title, publish_date FROM a
-WHERE (title ILIKE '%med%' OR content ILIKE '%med%')
-  AND CAST(publish_date AS DATE) BETWEEN DATE '1998-09-15' - INTERVAL 3 MONTH AND DATE '1998-09-15'""")
+# Every kind of notice as a title, with goods words in turn; and every setting of the search form.
+TITLES = ("某校公开招标公告", "设备招标公告货物", "询价公告", "竞争性谈判工程", "单一来源公示", "资格预审服务", "邀请公告",
+          "中标公告货物", "更正公告", "其他公告", "竞争性磋商服务", "成交公告工程", "终止公告", "中标更正med")
+SETTINGS = (
+    [SearchParams("", bid_type=k.value[0], time_type="halfyear") for k in Kind]
+    + [SearchParams("", time_type=p.value[1][0]) for p in Period if p is not Period.CUSTOM]
+    + [SearchParams("", pin_mu=g.value[1][0], time_type=4) for g in Goods]
+    + [SearchParams("med", search_type=f.value[0], time_type=5) for f in Field]
+    + [SearchParams("公告", time_type="custom", start_date="1997:03:01", end_date="1997-03-31")])
+
+
+def _setting_sql(p: SearchParams) -> str:
+    kind, goods = Kind.of(p.bid_type), Goods.of(p.pin_mu)
+    any_of = lambda words: "(" + " OR ".join(f"contains(title, '{w}')" for w in words) + ")"
+    where = ["true"]
+    if kind is Kind.OTHER:
+        where.append("NOT " + any_of([w for k in Kind for w in k.detail]))
+    elif kind.detail:
+        where.append(any_of(kind.detail))
+    if goods is not Goods.ALL:
+        where.append(any_of([notices.GOODS_WORDS[goods.detail]]))
+    if p.kw:
+        full = Field.of(p.search_type) is Field.FULL_TEXT
+        where.append(f"(title ILIKE '%{p.kw}%'" + (f" OR content ILIKE '%{p.kw}%')" if full else ")"))
+    period = Period.of(p.time_type)
+    where.append("CAST(publish_date AS DATE) BETWEEN DATE '1997-03-01' AND DATE '1997-03-31'" if period is Period.CUSTOM
+                 else f"CAST(publish_date AS DATE) BETWEEN DATE '1998-09-15' - INTERVAL {period.detail} AND DATE '1998-09-15'")
+    return " AND ".join(where)
+
+
+@query("search_params", f"""WITH {A}, t AS (SELECT * REPLACE ([{", ".join(f"'{t}'" for t in TITLES)}][id % {len(TITLES)} + 1] AS title,
+  CASE WHEN id % 5 = 0 THEN 'Med' ELSE content END AS content) FROM a)
+""" + "\nUNION ALL ".join(f"SELECT {i} AS setting, id, title, publish_date FROM t WHERE {_setting_sql(p)}"
+                          for i, p in enumerate(SETTINGS)))
 def search_params(spark, sf):
-    a = announcements(spark, sf).withColumn("publish_day", text.publish_day(F.col("publish_date")))
-    params = SearchParams("med", search_type="fulltext", time_type="3months")
-    return search_notices(a, params, "1998-09-15").select("id", "title", "publish_date")
+    """Every kind, period, goods word and search field, over titles of every kind."""
+    a = (announcements(spark, sf).withColumn("publish_day", text.publish_day(F.col("publish_date")))
+         .withColumn("title", F.get(F.array(*map(F.lit, TITLES)), (F.col("id") % len(TITLES)).cast("int")))
+         .withColumn("content", F.when(F.col("id") % 5 == 0, "Med").otherwise(F.col("content"))))
+    parts = [search_notices(a, p, "1998-09-15").select(F.lit(i).alias("setting"), "id", "title", "publish_date")
+             for i, p in enumerate(SETTINGS)]
+    return reduce(lambda x, y: x.union(y), parts)
 
 
 LABELS = ("tion", "keit", "ción", "eau")
@@ -186,10 +224,10 @@ def count_by_day(spark, sf):
 
 
 @query("per_source_cap", """SELECT source, doc_id FROM (SELECT source, doc_id,
-  row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents) WHERE rn <= 250""")
+  row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents) WHERE rn <= 20""")
 def per_source_cap(spark, sf):
     return notices.capped_per_source(
-        table(spark, sf, "documents").select("source", "doc_id"), "source", "doc_id")
+        table(spark, sf, "documents").select("source", "doc_id"), "source", "doc_id", cap=20)
 
 
 WORDS = ("token", "@mail", "ünd", "tion", "zzz")
@@ -204,6 +242,19 @@ def keyword_hits(spark, sf):
         "id", F.col("kw_pos"), "keyword")
 
 
+@query("keyword_table", f"""WITH {D}, w AS (SELECT keyword, min(n) AS n FROM (
+  SELECT doc_id AS n, regexp_extract(text, '[A-Za-z]{{3,}}', 0) AS keyword FROM documents) WHERE keyword != '' GROUP BY keyword)
+SELECT id, min_by(keyword, n) AS keyword, count(*) AS hits FROM d JOIN w ON contains(title || chr(10) || content, keyword)
+GROUP BY id""")
+def keyword_table(spark, sf):
+    """As many keywords as there are first words, read as keyword lines and never collected."""
+    lines = table(spark, sf, "documents").select("doc_id", F.regexp_extract("text", "[A-Za-z]{3,}", 0).alias("line"))
+    words = keywords.keywords_in_column(lines, "line", "doc_id")
+    hits = notices.keyword_table_hits(texts(spark, sf).select("id", "title", "content"), words, all_hits=True)
+    return hits.groupBy("id").agg(F.max(F.when(F.col("is_first"), F.col("keyword"))).alias("keyword"),
+                                  F.count(F.lit(1)).alias("hits"))
+
+
 @query("keyword_results", f"""WITH {D}, w(kw_pos, keyword) AS (VALUES {WORD_VALUES}),
 h AS (SELECT id, kw_pos, keyword, row_number() OVER (PARTITION BY id ORDER BY kw_pos) = 1 AS is_first
   FROM d JOIN w ON contains(title || chr(10) || content, keyword))
@@ -308,3 +359,25 @@ def export_by_day(spark, sf):
         F.concat(F.lit("http://notice.example/"), F.col("o_orderkey").cast("string")).alias("url"),
         F.lit("").alias("content"))
     return _exported(spark, sf, a, "day")
+
+
+def _exported(spark, sf, part: str):
+    folder = f"{shared_dir(spark)}/noticeflow-all-{uuid4().hex}"
+    exports.export_all(announcements(spark, sf), contacts(spark, sf), folder, "parquet")
+    return spark.read.parquet(f"{folder}/{part}")
+
+
+@query("export_all", f"WITH {A} SELECT title, url, publish_date, source FROM a")
+def export_all(spark, sf):
+    """All announcements, written and read back."""
+    return _exported(spark, sf, "announcements")
+
+
+@query("export_all_contacts", f"WITH {K} SELECT DISTINCT company, contact_name, phone, email FROM k")
+def export_all_contacts(spark, sf):
+    return _exported(spark, sf, "contacts")
+
+
+@query("export_all_summary", f"WITH {A}, {K} SELECT '公告总数' AS \"项目\", count(*) AS \"数量\" FROM a UNION ALL SELECT '联系人总数', count(*) FROM k")
+def export_all_summary(spark, sf):
+    return _exported(spark, sf, "summary/总览")

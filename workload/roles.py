@@ -34,13 +34,13 @@ A = """a AS (SELECT o_orderkey AS id, o_orderpriority AS title,
 def texts(spark: SparkSession, sf: str) -> DataFrame:
     """documents as announcements with content."""
     return table(spark, sf, "documents").select(
-        F.col("doc_id").alias("id"), F.substring("text", 1, 60).alias("title"),
+        F.col("doc_id").alias("id"), F.substring_index("text", "\n", 1).alias("title"),
         F.concat(F.lit("//text.example/"), F.col("lang"), F.lit("/"),
                  F.col("n_chars").cast("string")).alias("url"),
         F.col("text").alias("content"), "source", F.col("doc_id").alias("ingest_seq"))
 
 
-D = """d AS (SELECT doc_id AS id, substr(text, 1, 60) AS title,
+D = """d AS (SELECT doc_id AS id, split_part(text, chr(10), 1) AS title,
   '//text.example/' || lang || '/' || n_chars AS url, text AS content, source,
   doc_id AS ingest_seq FROM documents)"""
 

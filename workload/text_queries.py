@@ -74,8 +74,9 @@ def clean_dates(spark, sf):
 
 
 @query("clean_announcements", r"""WITH x AS (SELECT *,
-  regexp_replace(regexp_replace(text, '\n\s*\n', chr(10) || chr(10), 'g'), ' +', ' ', 'g') AS c FROM documents)
-SELECT doc_id AS id, trim(regexp_replace(substr(text, 1, 60), '\s+', ' ', 'g')) AS title,
+  regexp_replace(regexp_replace(text, '\n\s*\n', chr(10) || chr(10), 'g'), ' +', ' ', 'g') AS c,
+  trim(regexp_replace(split_part(text, chr(10), 1), '\s+', ' ', 'g')) AS t FROM documents)
+SELECT doc_id AS id, CASE WHEN length(t) > 500 THEN substr(t, 1, 500) || '...' ELSE t END AS title,
   'http://text.example/' || lang || '/' || n_chars AS url,
   trim(CASE WHEN length(c) > 50000 THEN substr(c, 1, 50000) || chr(10) || '...(内容过长，已截断)' ELSE c END,
     ' ' || chr(10)) AS content, '2024-1-5' AS publish_date, source FROM x""")
@@ -280,16 +281,18 @@ def scalars(spark, sf):
   regexp_extract(url, '^[a-z]+://[^/?#]*', 0) || '/p' || page_id AS rooted,
   regexp_extract(url, '^[a-z]+://[^?#]*/', 0) || 'x.html' AS relative,
   'http://other.example/' AS complete, true AS foreign_dropped,
-  'ccgp' AS kind FROM pages""")
+  CASE page_id % 3 WHEN 0 THEN 'ccgp' WHEN 1 THEN 'ccgp' ELSE 'other' END AS kind FROM pages""")
 def absolute_urls(spark, sf):
     base = urls.url_parts(F.col("url"))
     rooted = F.concat(F.lit("/a/../p"), F.col("page_id").cast("string"))
+    sites = F.array(*map(F.lit, ("http://www.ccgp.gov.cn/?", "http://www.ccgp-a.gov.cn/?", "http://x.example/?")))
     return table(spark, sf, "pages").select(
         "page_id", "url", urls.absolute_url(rooted, base).alias("rooted"),
         urls.absolute_url(F.lit("./x.html"), base).alias("relative"),
         urls.absolute_url(F.lit("http://other.example/"), base).alias("complete"),
         urls.absolute_url(F.lit("//other.example/"), base).isNull().alias("foreign_dropped"),
-        urls.site_type(F.col("url")).alias("kind"))
+        urls.site_type(F.concat(F.element_at(sites, (F.col("page_id") % 3 + 1).cast("int")), F.col("url")), "other")
+        .alias("kind"))
 
 
 # ------------------------------------------------------------------ sources
