@@ -293,20 +293,13 @@ def remove_overlaps(docs: DataFrame, items: DataFrame, window: int = WINDOW,
     every span of at least one whole window is cut out. Documents without hits stay as they are.
     """
     found = overlaps(docs, items, window, text, into="_overlap", **options)
-
-    @F.pandas_udf("string")
-    def cut(texts, spans):
-        import pandas as pd
-        out = []
-        for t, ss in zip(texts, spans, strict=True):
-            for s in reversed(ss if ss is not None else []):
-                t = t[:s["start"]] + t[s["stop"]:]
-            out.append(t)
-        return pd.Series(out, dtype=object)
-
-    hit = F.col("_overlap.n_hit")
+    spans, hit = F.col("_overlap.spans"), F.col("_overlap.n_hit")
+    # What stands before each span and behind the last one.
+    kept = F.transform(F.sequence(F.lit(0), F.size(spans)), lambda i: F.substr(
+        F.col(text), F.coalesce(F.get(spans, i - 1)["stop"], F.lit(0)) + 1,
+        F.coalesce(F.get(spans, i)["start"], F.length(text)) - F.coalesce(F.get(spans, i - 1)["stop"], F.lit(0))))
     return (found.where(hit <= most_coverage * F.col("_overlap.n_words"))
-            .withColumn(text, F.when(hit > 0, cut(text, "_overlap.spans")).otherwise(F.col(text)))
+            .withColumn(text, F.when(hit > 0, F.array_join(kept, "")).otherwise(F.col(text)))
             .select(*docs.columns))
 
 

@@ -90,6 +90,14 @@ def find_spans(text: str, novelty: Novelty, least: float) -> list[tuple]:
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
+def _batches(batches, text: str, identifiers: str, least_novelty: float):
+    """Each slice with its texts and the spans in them."""
+    novelty = Novelty(identifiers)
+    for batch in slices(batches, text):
+        texts = pc.fill_null(batch.column(text), "").to_pylist()
+        yield batch, texts, [find_spans(t, novelty, least_novelty) for t in texts]
+
+
 def scan(docs: DataFrame, text: str = "text", into: str = "secrets",
          least_novelty: float = LEAST_NOVELTY, identifiers: str = IDENTIFIERS) -> DataFrame:
     """docs with an array `into` of (kind, start, stop, value, novelty) in code points, end exclusive.
@@ -98,16 +106,13 @@ def scan(docs: DataFrame, text: str = "text", into: str = "secrets",
     empty text has none. Repeated rows stay; an input column named like `into` is replaced.
     """
     docs = docs.drop(into)
-    position = docs.columns.index(text)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32()),
                                ("value", pa.int32()), ("novelty", pa.float64())]))
 
     def run(batches):
-        novelty = Novelty(identifiers)
-        for batch in slices(batches, text):
-            texts = pc.fill_null(batch.column(position), "").to_pylist()
-            found = [[dict(zip(("kind", "start", "stop", "value", "novelty"), s, strict=True))
-                      for s in find_spans(t, novelty, least_novelty)] for t in texts]
+        for batch, _, spans in _batches(batches, text, identifiers, least_novelty):
+            found = [[dict(zip(("kind", "start", "stop", "value", "novelty"), s, strict=True)) for s in ss]
+                     for ss in spans]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)],
                                              names=[*batch.schema.names, into])
 
@@ -115,29 +120,32 @@ def scan(docs: DataFrame, text: str = "text", into: str = "secrets",
         *docs.schema.fields, T.StructField(into, T._parse_datatype_string(SPANS))]))
 
 
-def redact(docs: DataFrame, text: str = "text", **options) -> DataFrame:
-    """docs with every secret replaced by a placeholder; names of assignments stay."""
-    found = scan(docs, text, into="_secrets", **options)
-
-    @F.pandas_udf("string")
-    def cut(texts, spans):
-        import pandas as pd
-        out = []
-        for t, ss in zip(texts, spans, strict=True):
-            if not len(ss):  # evaluated for every row, null texts included
-                out.append(t)
-                continue
-            kept, at, end = [], 0, -1
-            for a, b in sorted((s["value"], s["stop"]) for s in ss):
-                if a >= end:
-                    kept += [t[at:a], PLACEHOLDER]
-                at = end = max(end, b)
-            out.append("".join(kept) + t[at:])
-        return pd.Series(out, dtype=object)
-
-    return (found.withColumn(text, F.when(F.size("_secrets") > 0, cut(text, "_secrets"))
-                             .otherwise(F.col(text)))
-            .select(*docs.columns))
+def without(text: str, spans: list[tuple], placeholder: str) -> str:
+    """The text with the value of each span replaced; overlapping spans are replaced once."""
+    kept, at, end = [], 0, -1
+    for a, b in sorted((s[3], s[2]) for s in spans):
+        if a >= end:
+            kept += [text[at:a], placeholder]
+        at = end = max(end, b)
+    return "".join(kept) + text[at:]
+
+
+def redact(docs: DataFrame, text: str = "text", least_novelty: float = LEAST_NOVELTY,
+           identifiers: str = IDENTIFIERS, placeholder: str = PLACEHOLDER) -> DataFrame:
+    """docs with every secret replaced by a placeholder; names of assignments and nulls stay."""
+    position = docs.columns.index(text)
+
+    def run(batches):
+        for batch, texts, spans in _batches(batches, text, identifiers, least_novelty):
+            if any(spans):
+                null = batch.column(position).is_null().to_pylist()
+                column = [None if n else without(t, ss, placeholder) if ss else t
+                          for t, ss, n in zip(texts, spans, null, strict=True)]
+                batch = batch.set_column(position, batch.schema.field(position),
+                                         pa.array(column, batch.schema.field(position).type))
+            yield batch
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def digest(found: DataFrame, into: str = "secrets") -> DataFrame:
