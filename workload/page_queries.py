@@ -245,12 +245,18 @@ def notice_contacts(spark, sf):
     return _sides(notice_pages.parsed_notices(_blocks(spark, sf)))
 
 
-@query("notice_text", f"""WITH {N} SELECT page_id, CASE WHEN has_text THEN '一、项目编号：TC-' || k || chr(10) || '二、项目名称：采购 ' || k ELSE '' END AS head,
-  CASE WHEN NOT has_text THEN 0 WHEN seg = 'HOUSEHOLD' THEN 23 ELSE 27 END AS lines FROM n""")
+CONTENT = """array_to_string(list_concat(
+  ['一、项目编号：TC-' || k, '二、项目名称：采购 ' || k, '三、中标（成交）信息', '供应商名称：' || c_name, '供应商地址：' || n || '路1号',
+   '中标金额：' || amount || '万元', '五、评审专家名单：', '王强、刘洋', '六、代理服务费', '按标准', '另计', '七、公告期限', '1个工作日',
+   '八、其他补充事宜', '无', '九、凡对本次公告内容提出询问，请联系', '1.采购人信息', '名称：大学' || n, '地址：校园' || k, '联系方式：李雷，' || bp],
+  CASE WHEN seg = 'HOUSEHOLD' THEN [] ELSE ['2.采购代理机构信息', '名 称：招标' || n, '地址：' || n || '路2号',
+   '联系方式：' || CASE seg WHEN 'MACHINERY' THEN '王强' ELSE '赵敏' END || '、陈明 ' || ap || '/1234'] END,
+  ['3.项目联系方式', '项目联系人：孙丽、周涛', '电话：' || CASE seg WHEN 'FURNITURE' THEN ap ELSE bp END]), chr(10))"""
+
+
+@query("notice_text", f"WITH {N} SELECT page_id, CASE WHEN has_text THEN {CONTENT} ELSE '' END AS text FROM n")
 def notice_text(spark, sf):
-    return (_blocks(spark, sf).select("page_id", notice_pages.full_text().alias("t"))
-            .select("page_id", F.substring_index("t", "\n", 2).alias("head"),
-                    F.when(F.col("t") == "", 0).otherwise(F.size(F.split("t", "\n"))).alias("lines")))
+    return _blocks(spark, sf).select("page_id", notice_pages.full_text().alias("text"))
 
 
 FLAT_SQL = f"""WITH {N} SELECT page_id, '公告 ' || k AS title, CASE WHEN has_text THEN 'TC-' || k ELSE '' END AS project_no,
@@ -264,16 +270,28 @@ FLAT_SQL = f"""WITH {N} SELECT page_id, '公告 ' || k AS title, CASE WHEN has_t
   CASE seg WHEN 'AUTOMOBILE' THEN mp WHEN 'HOUSEHOLD' THEN '' ELSE {AGENT_PHONES} END AS agent_phone,
   '孙丽/|周涛/' AS project_contacts,
   CASE seg WHEN 'AUTOMOBILE' THEN right(bp, 8) WHEN 'MACHINERY' THEN mp WHEN 'FURNITURE' THEN ap ELSE bp END AS project_phone,
-  CASE WHEN has_text THEN '王强, 刘洋' ELSE '' END AS experts FROM n"""
+  CASE WHEN has_text THEN '王强, 刘洋' ELSE '' END AS experts, '2024年1月' || n || '日 09:00' AS publish_date,
+  '中国公共资源交易网' AS source, CASE WHEN has_table THEN '货物' ELSE '' END AS category,
+  CASE WHEN has_text THEN n || '路1号' ELSE '' END AS supplier_address,
+  CASE WHEN has_text THEN amount || '万元' ELSE '￥' || amount || '.50万元' END AS bid_amount,
+  '校园' || k || CASE WHEN has_table THEN '号' ELSE '' END AS buyer_address, '' AS buyer_email,
+  CASE WHEN seg IN ('AUTOMOBILE', 'HOUSEHOLD') THEN '' ELSE n || '路2号' END AS agent_address, '' AS agent_email,
+  CASE seg WHEN 'AUTOMOBILE' THEN '赵敏/' || mp || '|钱进/' || ap WHEN 'HOUSEHOLD' THEN ''
+    WHEN 'MACHINERY' THEN '陈明/' || {AGENT_PHONES}
+    ELSE '赵敏/' || {AGENT_PHONES} || '|陈明/' || {AGENT_PHONES} END AS agent_people, url,
+  CASE WHEN has_text THEN {CONTENT} ELSE '' END AS content FROM n"""
 
 
 @query("flat_notices", FLAT_SQL)
 def flat_notices(spark, sf):
+    """Every stored field."""
     return notice.notices(_blocks(spark, sf)).select(
         "page_id", "title", "project_no", "project_name", "region", "supplier",
         F.col("bid_yuan").cast("double").alias("bid_yuan"), "buyer_name", "buyer_contact", "buyer_phone",
         "agent_name", "agent_contact", "agent_phone", _people(F.col("project_contacts")).alias("project_contacts"),
-        "project_phone", "experts")
+        "project_phone", "experts", "publish_date", "source", "category", "supplier_address", "bid_amount",
+        "buyer_address", "buyer_email", "agent_address", "agent_email",
+        _people(F.col("agent_contacts_list")).alias("agent_people"), "url", "content")
 
 
 CANDIDATES_SQL = f"""cand AS (
