@@ -21,11 +21,12 @@ from .storage import saved
 SHARD = 4_096
 DEGREE = 40
 BUILD_BEAM = 72
-BEAM = 160
+BEAM = 112
 RELAX = 1.2
 QUERY_BLOCK = 1_024
 SALT_ROWS = 10_000
 CHUNK = 256
+BATCH = 1_024
 
 
 def top_beam(graph: np.ndarray, points: np.ndarray, queries: np.ndarray, start: int, beam: int):
@@ -37,7 +38,7 @@ def top_beam(graph: np.ndarray, points: np.ndarray, queries: np.ndarray, start:
     n, b = len(points), len(queries)
     half = (points * points).sum(1) / 2
     ids = np.full((b, beam), -1, np.int64)
-    dist = np.full((b, beam), np.inf)
+    dist = np.full((b, beam), np.inf, points.dtype)
     done = np.ones((b, beam), bool)
     seen = np.zeros((b, n + 1), bool)  # column n stands for a missing neighbour
     seen[:, n] = True
@@ -57,7 +58,7 @@ def top_beam(graph: np.ndarray, points: np.ndarray, queries: np.ndarray, start:
         fresh = ~seen[live[:, None], near]
         seen[live[:, None], near] = True
         r, c = np.nonzero(fresh)
-        new = np.full(near.shape, np.inf)
+        new = np.full(near.shape, np.inf, points.dtype)
         target = near[r, c]
         new[r, c] = half[target] - np.einsum("ij,ij->i", queries[live[r]], points[target])
         all_ids = np.concatenate([ids[live], near], 1)
@@ -79,8 +80,10 @@ def prune(points: np.ndarray, own: np.ndarray, candidates: np.ndarray, degree: i
     candidates = np.sort(candidates, 1)
     bad = (candidates < 0) | (candidates == own[:, None])
     bad[:, 1:] |= candidates[:, 1:] == candidates[:, :-1]
-    there = points[np.maximum(candidates, 0)]
-    dist = np.where(bad, np.inf, ((there - points[own][:, None]) ** 2).sum(2))
+    there = points[np.maximum(candidates, 0)] - points[own][:, None]
+    square = (there * there).sum(2)
+    dist = np.where(bad, np.inf, square)
+    inner = there @ there.transpose(0, 2, 1)
     out = np.full((b, degree), -1, np.int64)
     for k in range(degree):
         pick = dist.argmin(1)
@@ -89,7 +92,8 @@ def prune(points: np.ndarray, own: np.ndarray, candidates: np.ndarray, degree: i
             break
         chosen = candidates[got, pick[got]]
         out[got, k] = chosen
-        between = ((there[got] - points[chosen][:, None]) ** 2).sum(2)
+        at = pick[got]
+        between = square[got] + square[got, at][:, None] - 2 * inner[got, at]
         gone = relax * relax * between <= dist[got]
         gone[np.arange(len(got)), pick[got]] = True
         dist[got] = np.where(gone, np.inf, dist[got])
@@ -106,10 +110,14 @@ def build(points: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, rela
     for factor in (1.0, relax):
         at = 1 if factor == 1.0 else 0
         while at < n:
-            size = min(n - at, max(1, at) if factor == 1.0 else n, CHUNK)
+            size = min(n - at, max(1, at) if factor == 1.0 else n, BATCH)
             own = order[at:at + size]
-            met, _ = top_beam(graph, points, points[own], start, beam)
-            graph[own] = prune(points, own, np.concatenate([met, graph[own]], 1), degree, factor)
+            fresh = graph[own]
+            for a in range(0, size, CHUNK):
+                some = own[a:a + CHUNK]
+                met, _ = top_beam(graph, points, points[some], start, beam)
+                fresh[a:a + CHUNK] = prune(points, some, np.concatenate([met, graph[some]], 1), degree, factor)
+            graph[own] = fresh
             # Each new edge is offered back; a point with too many prunes them again.
             src, dst = np.repeat(own, degree), graph[own].reshape(-1)
             src, dst = src[dst >= 0], dst[dst >= 0]
@@ -127,8 +135,9 @@ def build(points: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, rela
 
 
 def with_equal_norms(vectors: np.ndarray, largest: float) -> np.ndarray:
+    """One more coordinate; single precision does for walking the graph."""
     rest = np.maximum(largest - (vectors * vectors).sum(1), 0)
-    return np.concatenate([vectors, np.sqrt(rest)[:, None]], 1)
+    return np.concatenate([vectors, np.sqrt(rest)[:, None]], 1).astype(np.float32)
 
 
 def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
@@ -196,7 +205,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "
                 q = np.stack([a["v"] for a in row.asked]).astype(float)
                 flat = with_equal_norms(x, largest)
                 for a in range(0, len(q), CHUNK):
-                    own = np.concatenate([q[a:a + CHUNK], np.zeros((len(q[a:a + CHUNK]), 1))], 1)
+                    own = np.concatenate([q[a:a + CHUNK], np.zeros((len(q[a:a + CHUNK]), 1))], 1).astype(np.float32)
                     ids, _ = top_beam(graph, flat, own, row.start, max(beam, k + 1))
                     r, c = np.nonzero(ids >= 0)
                     score = (q[a + r] * x[ids[r, c]]).sum(1)
