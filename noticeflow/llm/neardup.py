@@ -12,8 +12,8 @@ texts are one node. In a round every bucket has one representative, and its node
 compared with it; buckets whose nodes are then connected are done, so the pairs of a round
 are at most the rows of the buckets. After the rounds, nodes outside the largest class of
 their bucket are compared with all nodes of other classes there, so no link is lost. Pairs
-are made only if the similarity is possible: by their lengths, by parities of their shingles
-(a bound that no pair breaks) and by two-bit marks of the registers.
+are made only if the similarity is possible: by their lengths and by parities of their shingles,
+two bounds that no linked pair breaks.
 Classes are connected components over stored tables.
 """
 
@@ -32,7 +32,6 @@ SIMILARITY = 0.8
 BANDS = 32
 ROWS = 5  # a pair at 0.8 shares no band once in 300,000
 ROUNDS = 2
-SIGMAS = 3.5  # marks turn away a pair at the threshold once in 4,000
 PARITY_BITS = 1024
 SLICE_BYTES = 1 << 20
 U64 = np.uint64
@@ -139,16 +138,6 @@ def long_lists(table: np.ndarray) -> pa.Array:
                                     pa.array(table.reshape(-1)))
 
 
-def register_marks(signature: np.ndarray) -> pa.Array:
-    """Two bits of each register, 32 in a long."""
-    n, registers = signature.shape
-    words = -(-registers // 32)
-    two = np.zeros((n, words * 32), U64)
-    two[:, :registers] = mixed(signature.copy().view(U64)) >> U64(62)
-    packed = (two.reshape(n, words, 32) << (U64(2) * np.arange(32, dtype=U64))).sum(2, dtype=U64)
-    return long_lists(packed.view(np.int64))
-
-
 def parities(rows, hashes, counts, n: int) -> np.ndarray:
     """For each row the parity of its shingles, copies told apart, in each of PARITY_BITS slots.
 
@@ -168,7 +157,7 @@ def node_of(text: str):
 
 def sketch(docs: DataFrame, text: str = "text", size: int = SHINGLE, bands: int = BANDS,
            rows: int = ROWS) -> DataFrame:
-    """node, n (shingles), bands (hashes), marks (two bits a register) and parity of every text that has a word."""
+    """node, n (shingles), bands (hashes) and parity of every text that has a word."""
     def run(batches):
         for batch in slices(batches, "text", SLICE_BYTES):
             row, h, count = shingles(*text_buffers(batch.column("text")), size)
@@ -178,12 +167,11 @@ def sketch(docs: DataFrame, text: str = "text", size: int = SHINGLE, bands: int
             yield pa.RecordBatch.from_arrays(
                 [batch.column("node").take(pa.array(keep)), pa.array(n[keep]),
                  long_lists(band_hashes(sig[keep], bands, rows)),
-                 register_marks(sig[keep]), long_lists(parities(row, h, count, batch.num_rows)[keep])],
-                names=["node", "n", "bands", "marks", "parity"])
+                 long_lists(parities(row, h, count, batch.num_rows)[keep])],
+                names=["node", "n", "bands", "parity"])
 
     return (docs.where(F.col(text).isNotNull()).select(node_of(text).alias("node"), F.col(text).alias("text"))
-            .mapInArrow(run, "node binary, n long, bands array<long>, marks array<long>, "
-                         "parity array<long>"))
+            .mapInArrow(run, "node binary, n long, bands array<long>, parity array<long>"))
 
 
 def overlap(a: pa.Array, b: pa.Array, size: int) -> np.ndarray:
@@ -243,23 +231,10 @@ def components(edges: DataFrame) -> DataFrame:
                       .where("a != b").distinct(), "links")
 
 
-def differing(marks: list[str]):
-    """Registers whose marks differ from those of the other side."""
-    x = [f"({m} ^ {m}_b)" for m in marks]
-    return F.expr(" + ".join(f"bit_count(({w} | shiftrightunsigned({w}, 1)) & {0x5555555555555555}L)"
-                             for w in x))
-
-
 def odd_slots(parity: list[str]):
     return F.expr(" + ".join(f"bit_count({p} ^ {p}_b)" for p in parity))
 
 
-def most_differing(registers: int, least: float, sigmas: float = SIGMAS) -> int:
-    """Differing registers that a pair of similarity `least` hardly ever exceeds."""
-    p = (1 - least) * 3 / 4
-    return int(np.ceil(registers * p + sigmas * np.sqrt(registers * p * (1 - p))))
-
-
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE,
             least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS,
             rounds: int = ROUNDS) -> DataFrame:
@@ -273,21 +248,17 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: i
     unless all ids of the class are null.
     """
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    registers = bands * rows
-    marks = [f"m{i}" for i in range(-(-registers // 32))]
     parity = [f"p{i}" for i in range(PARITY_BITS // 64)]
     drawn = saved(sketch(docs, "text", size, bands, rows), "sketch").dropDuplicates(["node"])
     buckets = saved(drawn.select("node", F.explode("bands").alias("key")), "buckets")
     # Keys that occur once cannot link: they go before anything is joined.
     shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
     met = saved(buckets.join(shared, "key", "left_semi")
-                .join(drawn.select("node", "n", *[F.get("marks", F.lit(i)).alias(m) for i, m in enumerate(marks)],
-                                   *[F.get("parity", F.lit(i)).alias(p) for i, p in enumerate(parity)]),
+                .join(drawn.select("node", "n", *[F.get("parity", F.lit(i)).alias(p) for i, p in enumerate(parity)]),
                       "node"), "met")
     alike = ((F.least("n", "n_b") >= least * F.greatest("n", "n_b"))
-             & (odd_slots(parity) <= (F.col("n") + F.col("n_b")) * ((1 - least) / (1 + least)) + 1e-6)
-             & (differing(marks) <= most_differing(registers, least)))
-    side = [F.col(c).alias(f"{c}_b") for c in ("node", "n", *marks, *parity, "label")]
+             & (odd_slots(parity) <= (F.col("n") + F.col("n_b")) * ((1 - least) / (1 + least)) + 1e-6))
+    side = [F.col(c).alias(f"{c}_b") for c in ("node", "n", *parity, "label")]
     ordered = [F.greatest("node", "node_b").alias("a"), F.least("node", "node_b").alias("b")]
     # Whole texts move once; hints keep their joins alike at every size.
     texts = saved(docs.where(F.col("text").isNotNull()).select(node_of("text").alias("node"), "text")

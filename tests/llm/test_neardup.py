@@ -102,6 +102,16 @@ def test_classes_equal_brute_force(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(brute_classes(texts)))
 
 
+def test_no_pair_of_a_band_is_turned_away(spark):
+    texts = []
+    # Similar at 0.8 and in one band, although over 40 registers of 160 look unlike.
+    for i in (1007, 2560, 6168, 7908, 8616, 14773, 22184):
+        words = [f"s{i}w{k}" for k in range(13)]
+        texts += [" ".join(words), " ".join([*words[:-1], "other"])]
+    got = neardup.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == {i: i - i % 2 for i in range(len(texts))}
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert neardup.classes(docs).collect() == [] and neardup.deduplicated(docs).collect() == []
