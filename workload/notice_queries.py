@@ -361,7 +361,7 @@ def export_by_day(spark, sf):
     return _exported(spark, sf, a, "day")
 
 
-def _exported(spark, sf, part: str):
+def _exported_all(spark, sf, part: str):
     folder = f"{shared_dir(spark)}/noticeflow-all-{uuid4().hex}"
     exports.export_all(announcements(spark, sf), contacts(spark, sf), folder, "parquet")
     return spark.read.parquet(f"{folder}/{part}")
@@ -370,14 +370,14 @@ def _exported(spark, sf, part: str):
 @query("export_all", f"WITH {A} SELECT title, url, publish_date, source FROM a")
 def export_all(spark, sf):
     """All announcements, written and read back."""
-    return _exported(spark, sf, "announcements")
+    return _exported_all(spark, sf, "announcements")
 
 
 @query("export_all_contacts", f"WITH {K} SELECT DISTINCT company, contact_name, phone, email FROM k")
 def export_all_contacts(spark, sf):
-    return _exported(spark, sf, "contacts")
+    return _exported_all(spark, sf, "contacts")
 
 
 @query("export_all_summary", f"WITH {A}, {K} SELECT '公告总数' AS \"项目\", count(*) AS \"数量\" FROM a UNION ALL SELECT '联系人总数', count(*) FROM k")
 def export_all_summary(spark, sf):
-    return _exported(spark, sf, "summary/总览")
+    return _exported_all(spark, sf, "summary/总览")
