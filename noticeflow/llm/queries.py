@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import context_mixing, decontamination, language, main_text, neardup, neighbours, packing, secrets, toxicity, url_filters
+from . import (context_mixing, decontamination, language, main_text, neardup, neighbours, packing, prefix_trie, secrets,
+               toxicity, url_filters)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -178,3 +179,43 @@ def op9(spark, sf):
         "page_id", "url", "fetched_day", (F.size("rules") > 0).alias("blocked"),
         F.size("rules").cast("long").alias("n_rules"),
         F.array_join(F.transform("rules", lambda r: F.concat_ws(":", r["kind"], r["key"])), " ").alias("rules"))
+
+
+@query("op12_prefix_trie", r"""
+WITH t AS (
+  SELECT conv_id, coalesce(text, '') AS text, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+           sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base, xor(list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+      lambda v, bit: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)), 4294967295) % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (
+  SELECT conv_id, digest, text, row_number() OVER (PARTITION BY conv_id ORDER BY own, pos) AS depth
+  FROM (SELECT c.conv_id, 0 AS own, t.pos, t.digest, t.text FROM c JOIN t ON t.conv_id = c.base AND t.pos <= c.h
+        UNION ALL SELECT c.conv_id, 1, t.pos, t.digest, t.text FROM c JOIN t ON t.conv_id = c.conv_id AND t.pos > c.h)),
+p AS (
+  SELECT conv_id, depth, length(text) AS chars, key,
+         coalesce(lag(key) OVER w, '') AS parent, depth = max(depth) OVER (PARTITION BY conv_id) AS last
+  FROM (SELECT *, md5(string_agg(digest, '') OVER (PARTITION BY conv_id ORDER BY depth)) AS key FROM r)
+  WINDOW w AS (PARTITION BY conv_id ORDER BY depth)
+  UNION ALL
+  SELECT conv_id, 0, 0, '', NULL, NOT EXISTS (SELECT 1 FROM r WHERE r.conv_id = c.conv_id) FROM c),
+n AS (
+  SELECT key, min(conv_id) AS conv_id, min(depth) AS depth, min(parent) AS parent, count(*) AS n_convs, max(chars) AS chars,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE last), '')) AS ends_sha256
+  FROM p GROUP BY key),
+k AS (SELECT parent AS key, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY parent),
+b AS (
+  SELECT up.key, sum((n.n_convs - 1) * n.chars) AS saved_tokens, count(*) FILTER (WHERE k.key IS NULL) AS n_leaves
+  FROM n JOIN p up ON up.conv_id = n.conv_id AND up.depth <= n.depth LEFT JOIN k ON k.key = n.key GROUP BY up.key)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, m.conv_id AS parent_conv_id, n.n_convs,
+       CAST(coalesce(k.n_children, 0) AS BIGINT) AS n_children, CAST(b.n_leaves AS BIGINT) AS n_leaves,
+       CAST(b.saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM n LEFT JOIN n m ON m.key = n.parent LEFT JOIN k ON k.key = n.key JOIN b ON b.key = n.key
+""")
+def op12(spark, sf):
+    return prefix_trie.conversation_trie(table(spark, sf, "conversations"))
