@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (context_mixing, decontamination, language, main_text, neardup, neighbours, packing, prefix_trie, secrets,
-               toxicity, url_filters)
+               token_alignment, toxicity, url_filters)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -181,6 +181,11 @@ def op9(spark, sf):
         F.array_join(F.transform("rules", lambda r: F.concat_ws(":", r["kind"], r["key"])), " ").alias("rules"))
 
 
+@query("op11_token_alignment")
+def op11(spark, sf):
+    return token_alignment.align(table(spark, sf, "documents")).documents
+
+
 @query("op12_prefix_trie", r"""
 WITH t AS (
   SELECT conv_id, coalesce(text, '') AS text, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest,
