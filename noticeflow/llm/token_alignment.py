@@ -36,21 +36,25 @@ from .storage import saved
 
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 SLICE_BYTES = 8 << 20
-JOINED_CHARS = 2_000
-MOST_WORDS = 300_000
+JOINED_CHARS = 8_000
+MOST_WORDS = 300_000  # that a worker remembers from one slice to the next
 
 #: White space of either tokenizer's rules, and what some versions count as such.
 SPACES = r"\s\u180e\u200b\ufeff"
 CUT = re.compile(rf"(?<=[^{SPACES}]) (?=[^{SPACES}])")
-UNEVEN = re.compile(rf"[{SPACES}][{SPACES}]|\A[{SPACES}]|[{SPACES}]\Z|[\u180e\u200b\ufeff]")
 SPACE = re.compile(rf"[{SPACES}]")
+ALL_SPACES = [c for c in map(chr, range(0x10000)) if SPACE.match(c)]
 NONE = hashlib.sha256(b"").hexdigest()
 
 _pairs: dict[str, TokenizerPair] = {}
+_lexicons: dict[str, Lexicon] = {}
 
 
 def words_of(text: str) -> list[str]:
-    return CUT.split(text) if UNEVEN.search(text) else text.split(" ")
+    """The pieces between the spaces that no white space stands next to."""
+    if " " in (text[0], text[-1]) or any(c in text and (f" {c}" in text or f"{c} " in text) for c in ALL_SPACES):
+        return CUT.split(text)
+    return text.split(" ")
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -117,9 +121,11 @@ class TokenizerPair:
         out: list[Aligned | None] = []
         for text, x, y in zip(spaced, self.a.encode_batch(spaced, add_special_tokens=False),
                               self.b.encode(texts, return_type="proto", num_threads=1), strict=True):
-            a, spans = np.array(x.ids, np.int64), np.array(x.offsets, np.int64).reshape(-1, 2)
-            found = np.array([(p.id, p.begin, p.end) for p in y.pieces], np.int64).reshape(-1, 3)
-            b, raw = found[:, 0], text.encode()
+            n, raw = len(x), text.encode()
+            a = np.fromiter(x.ids, np.int64, n)
+            spans = np.fromiter(itertools.chain.from_iterable(x.offsets), np.int64, 2 * n).reshape(-1, 2)
+            found = np.array([(p.id, p.end) for p in y.pieces], np.int64).reshape(-1, 2)
+            b = found[:, 0]
             if (b"".join(map(self.a_bytes.__getitem__, a.tolist())) != raw
                     or b"".join(map(self.b_bytes.__getitem__, b.tolist())) != raw):
                 out.append(None)
@@ -128,8 +134,8 @@ class TokenizerPair:
             a_ends = byte_places(text)[spans[:, 1]]
             inside = np.append(spans[:-1, 1] > spans[1:, 0], False)
             a_ends[inside] = np.cumsum(self.a_sizes[a])[inside]
-            b_ends = found[:, 2] + 1
-            inside = found[:, 1] == found[:, 2]
+            b_ends = found[:, 1] + 1
+            inside = np.diff(found[:, 1], prepend=0) == 0  # an empty span: a byte before the last of its character
             b_ends[inside] = np.cumsum(self.b_sizes[b])[inside]
             out.append(Aligned(a, b, a_ends, b_ends))
         return out
@@ -172,6 +178,7 @@ class Lexicon:
     def __init__(self, pair: TokenizerPair):
         self.pair, self.numbers = pair, Numbers()
         self.groups: list[str] = []
+        self.uses = array.array("q")  # slices that held the word
         self.counts, self.pairs = array.array("q"), array.array("q")  # four counts a word; links in turn
 
     def learn(self) -> None:
@@ -205,6 +212,7 @@ class Lexicon:
                     self.add([w])
             else:
                 self.groups.append("")
+                self.uses.append(0)
                 self.counts.extend((-1, 0, 0, 0))
             return
         stops = np.cumsum([len(w.encode()) + 1 for w in words])
@@ -219,6 +227,7 @@ class Lexicon:
         pieces, at = self.pair.pieces(aligned), 0
         for n in (counts[:, 0] + counts[:, 1]).tolist():
             self.groups.append("".join(pieces[at:at + n])[:-1])
+            self.uses.append(0)
             at += n
 
     def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -227,6 +236,28 @@ class Lexicon:
         return counts, np.cumsum(counts[:, 3]), np.array(self.pairs, np.int64)
 
 
+    def shrink(self, most: int) -> None:
+        """Forget, when there are more than `most` words, all but the half of that used most often."""
+        if len(self.groups) <= most:
+            return
+        counts, stops, pairs = self.arrays()
+        uses = np.array(self.uses, np.int64)
+        keep = np.flatnonzero(uses > 1)
+        keep = np.sort(keep[np.argsort(-uses[keep], kind="stable")[:most // 2]])
+        words = list(self.numbers)
+        self.numbers = Numbers()
+        self.numbers.update((words[i], n) for n, i in enumerate(keep.tolist()))
+        self.groups = [self.groups[i] for i in keep.tolist()]
+        self.uses = array.array("q", uses[keep].tobytes())
+        self.pairs = array.array("q", pairs[runs(stops[keep], counts[keep, 3])].tobytes())
+        self.counts = array.array("q", counts[keep].tobytes())
+
+
+def lexicon_of(pair: TokenizerPair, folder: str | None) -> Lexicon:
+    """A worker's own, kept from task to task; what it gives for a word never changes."""
+    return _lexicons.setdefault(folder or "", Lexicon(pair))
+
+
 def runs(stops: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The places stop - size to stop, one run after the other."""
     total = np.cumsum(sizes)
@@ -248,6 +279,7 @@ def slice_columns(texts: list[str], lexicon: Lexicon) -> list[list]:
     counts, stops, pairs = lexicon.arrays()
     codes = [c if (counts[c, 0] >= 0).all() else c[:0] for c in codes]
     used = np.unique(np.concatenate([*codes, np.zeros(0, np.int64)]))
+    np.frombuffer(lexicon.uses, np.int64)[used] += 1
     sizes = counts[used, 3]
     own, link_pairs = np.unique(pairs[runs(stops[used], sizes)], return_inverse=True)
     link_stops, docs = np.cumsum(sizes), np.zeros(len(own), np.int32)
@@ -269,10 +301,9 @@ def sliced(docs: DataFrame, vocabulary: str | None = None, doc_id: str = "doc_id
 
     def run(batches):
         pair = tokenizer_pair(vocabulary)
-        lexicon, number = Lexicon(pair), itertools.count(TaskContext.get().partitionId() << 32)
+        lexicon, number = lexicon_of(pair, vocabulary), itertools.count(TaskContext.get().partitionId() << 32)
         for batch in slices(batches, "text", SLICE_BYTES):
-            if len(lexicon.numbers) > MOST_WORDS:
-                lexicon = Lexicon(pair)
+            lexicon.shrink(MOST_WORDS)
             columns = slice_columns(pc.fill_null(batch.column("text"), "").to_pylist(), lexicon)
             ids = batch.column("doc_id")
             yield pa.RecordBatch.from_arrays(
