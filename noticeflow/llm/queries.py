@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (context_mixing, decontamination, language, main_text, neardup, neighbours, packing, prefix_trie, secrets,
-               token_alignment, toxicity, url_filters)
+from . import (context_mixing, decontamination, language, main_text, neardup, neighbours, packing, personal, prefix_trie,
+               secrets, token_alignment, toxicity, url_filters)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -224,3 +224,10 @@ FROM n LEFT JOIN n m ON m.key = n.parent LEFT JOIN k ON k.key = n.key JOIN b ON
 """)
 def op12(spark, sf):
     return prefix_trie.conversation_trie(table(spark, sf, "conversations"))
+
+
+@query("op13_personal_data")
+def op13(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return personal.digest(personal.scan(docs, personal.fit(docs))).select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
