@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.chars import like_text, strip, text_or_empty
 from .dedupe import unseen
-from .sizing import broadcast_if_small, is_small, settled
+from .sizing import bounded, settled
 
 # Company cells that only point elsewhere.
 PLACEHOLDER_COMPANIES = ("%详见%正文%", "%见公告%", "%见附件%")
@@ -123,16 +123,12 @@ def _listed_mentions(m: DataFrame, a: DataFrame | None, role: str, province: str
     return m
 
 
-def _listed_cards(c: DataFrame, m: DataFrame, a: DataFrame | None, q: str, role: str,
-                  province: str) -> DataFrame:
-    """Cards that pass the filters (J1, J2, P14). With a role or province a card
-    needs a mention that passes; its id is all that is shuffled for that."""
+def _listed_cards(c: DataFrame, m: DataFrame | None, q: str) -> DataFrame:
+    """Cards that pass the search (P14) and, if mentions are given, have one of them."""
     cards = c.filter(card_matches(q))
-    if not role and not province:
+    if m is None:
         return cards
-    ids = (_listed_mentions(m, a, role, province)
-           .select(F.col("business_card_id").alias("id")).distinct())
-    return cards.join(ids, "id", "left_semi")
+    return cards.join(m.select(F.col("business_card_id").alias("id")).distinct(), "id", "left_semi")
 
 
 def card_list(c: DataFrame, m: DataFrame, a: DataFrame | None = None, q: str = "",
@@ -141,18 +137,22 @@ def card_list(c: DataFrame, m: DataFrame, a: DataFrame | None = None, q: str = "
 
     The order depends on cards alone, so the page is cut first, on narrow
     card rows. Mentions are then counted, and phones and e-mails fetched, for
-    the cards of the page only: one pass over the mentions without shuffling
-    those of other cards.
+    the cards of the page only. With a role or province the mentions that pass are
+    found once and written as pairs of numbers, so the texts of announcements are
+    read once.
     """
-    listed = _listed_cards(c, m, a, q, role, province)
-    page = broadcast_if_small(settled(
+    narrow = m.select("business_card_id", "announcement_id")
+    if role or province:
+        narrow = settled(_listed_mentions(m, a, role, province).select(*narrow.columns).distinct())
+    listed = _listed_cards(c, narrow if role or province else None, q)
+    page = bounded(limit, settled(
         listed.groupBy(*KEY)
         .agg(F.max("id").alias("id"), F.max("created_at").alias("created_at"),
              F.max("updated_at").alias("updated_at"))
         .orderBy(*_page_order()).offset(offset).limit(limit)))
     on_page = c.select("id", *KEY, "phones", "emails").join(page.select(*KEY), KEY)
-    ids = broadcast_if_small(on_page.select(F.col("id").alias("business_card_id"), *KEY))
-    counts = (_listed_mentions(m.join(ids, "business_card_id"), a, role, province)
+    ids = on_page.select(F.col("id").alias("business_card_id"), *KEY)
+    counts = (narrow.join(ids, "business_card_id")
               .groupBy(*KEY).agg(F.countDistinct("announcement_id").alias("projects_count")))
     values = on_page.groupBy(*KEY).agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("phones")))).alias("phones"),
@@ -167,7 +167,8 @@ def card_list(c: DataFrame, m: DataFrame, a: DataFrame | None = None, q: str = "
 def card_group_count(c: DataFrame, m: DataFrame, a: DataFrame | None = None, q: str = "",
                      role: str = "", province: str = "") -> DataFrame:
     """Number of (company, contact) groups under the list's filters."""
-    return (_listed_cards(c, m, a, q, role, province).select(*KEY).distinct()
+    passing = _listed_mentions(m, a, role, province) if role or province else None
+    return (_listed_cards(c, passing, q).select(*KEY).distinct()
             .agg(F.count(F.lit(1)).alias("total")))
 
 
@@ -268,4 +269,4 @@ def distinct_mentions(new: DataFrame) -> DataFrame:
 def new_mentions(old: DataFrame, new: DataFrame) -> DataFrame:
     """Mentions to append: complete, distinct and not stored."""
     key = ["business_card_id", "announcement_id", "role"]
-    return unseen(distinct_mentions(new), old, key, small=is_small(new.select(*key)))
+    return unseen(distinct_mentions(new), old, key)

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.chars import text_or_empty
 from ..session import shared_dir
-from .sizing import is_small
 
 
 def _firsts(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
@@ -35,35 +34,21 @@ def dedupe_first(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     return _pick(df, _firsts(df, keys, order), keys, order)
 
 
-def unseen(df: DataFrame, stored: DataFrame, keys: Sequence[str], small: bool | None = None
-           ) -> DataFrame:
+def unseen(df: DataFrame, stored: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows whose key is not stored yet.
 
-    A batch is usually small next to what is stored. If a count proves that,
-    its keys go to the stored rows instead: one scan of the stored key columns
-    finds the known ones, and only those meet the batch. Otherwise both sides
-    are shuffled by key. ``small`` is the answer where it is known already.
+    Only keys are read of what is stored. Where it is laid out by key, as the urls of
+    ``sources.state`` are, pass the part that the keys of ``df`` can be in.
     """
-    keys = list(keys)
-    asked, known = df.select(*keys), stored.select(*keys)
-    if is_small(asked) if small is None else small:
-        # At most as many known keys as were asked for.
-        known = F.broadcast(known.join(F.broadcast(asked), keys, "left_semi").distinct())
-    return df.join(known, keys, "left_anti")
+    return df.join(stored.select(*keys), list(keys), "left_anti")
 
 
 def insert_or_ignore(old: DataFrame, new: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """Rows of ``new`` to append: unseen keys, the first row of each.
 
-    Both decisions are made on (key, order) alone, which is written to the
-    checkpoint folder so that the wide rows are not read again for it. A small
-    batch then stays where it is; the rows of a large one move once.
+    Both decisions are made on (key, order) alone; the wide rows are then picked by both.
     """
-    shared_dir(new.sparkSession)
-    firsts = _firsts(new, keys, order).checkpoint()
-    small = is_small(firsts)
-    fresh = unseen(firsts, old, keys, small)
-    return _pick(new, F.broadcast(fresh) if small else fresh, keys, order)
+    return _pick(new, unseen(_firsts(new, keys, order), old, keys), keys, order)
 
 
 def distinct_rows(df: DataFrame, cols: Sequence[str]) -> DataFrame:

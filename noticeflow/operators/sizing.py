@@ -1,32 +1,18 @@
-"""Broadcasts behind a check of their size."""
+"""Results that are used several times, and sides whose size a limit bounds."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
 from ..session import shared_dir
 
 BROADCAST_ROWS = 100_000
-BROADCAST_BYTES = 64 * 1024 * 1024
 
 
-def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether there are at most ``rows`` rows of numbers and short texts in all.
-
-    Counted in every task and summed; a LIMIT would gather up to ``rows`` rows
-    of every partition in one task first.
-    """
-    texts = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema.fields
-             if f.dataType == T.StringType()]
-    seen = df.agg(F.count(F.lit(1)).alias("rows"),
-                  F.sum(sum(texts, F.lit(0))).alias("bytes")).first()
-    return seen.rows <= rows and (seen.bytes or 0) <= BROADCAST_BYTES
-
-
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a narrow side that is proven small; else leave the join to the
-    planner, which shuffles."""
-    return F.broadcast(df) if is_small(df, rows) else df
+def bounded(limit: int, df: DataFrame) -> DataFrame:
+    """Broadcast rows that a ``LIMIT`` has cut to a small number; with a larger limit the
+    planner decides, which shuffles."""
+    return F.broadcast(df) if limit <= BROADCAST_ROWS else df
 
 
 def settled(df: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from ..functions.chars import contains_any, first_filled, strip
 from ..functions.text import clean_announcement, clean_url, publish_day
@@ -14,10 +14,11 @@ from ..operators.dedupe import unseen
 from ..operators.generic_pages import page_text
 from ..operators.html_blocks import html_blocks
 from ..operators.refused import REFUSAL_WORDS, refused
-from ..schema import ANNOUNCEMENTS
+from ..schema import ANNOUNCEMENTS, MENTIONS
 from ..session import shared_dir
-from ..sources.state import WHOLE_CARDS_EVERY, State
+from ..sources.state import REWRITE_AFTER, State, View
 from .notice import card_candidates, notices
+from .statistics import batch_statistics
 
 # Fixed value.
 INGEST_SOURCE = "ccgp-bxsearch"
@@ -36,13 +37,13 @@ class Ingested:
 
 
 def prepared(pages: DataFrame) -> DataFrame:
-    """Clean urls and the optional list columns; pages without url drop out."""
+    """Clean urls and the optional list columns; a page without url has ''."""
     for name, kind in _OPTIONAL.items():
         if name not in pages.columns:
             pages = pages.withColumn(name, F.lit(None).cast(kind))
     return (pages.select(clean_url(F.col("url")).alias("url"), "html", *_OPTIONAL,
                          F.col("ingest_seq").cast("long").alias("ingest_seq"))
-            .filter(F.col("url") != ""))
+            .withColumn("url", F.coalesce("url", F.lit(""))))
 
 
 def may_be_refused(html: Column) -> Column:
@@ -50,31 +51,33 @@ def may_be_refused(html: Column) -> Column:
     return contains_any(html, (*REFUSAL_WORDS, "&#"))
 
 
-def new_pages(pages: DataFrame, stored: DataFrame) -> DataFrame:
+def new_pages(pages: DataFrame, stored: DataFrame | View, seen: Observation | None = None) -> DataFrame:
     """Pages to parse for every unknown url, with the flag ``contested``.
 
-    Urls are counted and compared with the stored ones on (url, ingest_seq)
-    alone. A url with one page needs no more. Of several copies the first that
-    is not refused is wanted: those are the first copy without any wording of a
-    refusal and the earlier ones with it, which only parsing can judge. Pages
-    without markup are no copies.
+    One pass over the pages notes url, ingest_seq and what the markup may be; everything is
+    decided on these short rows, and a second pass picks the markup that is wanted by (url,
+    ingest_seq), so a url with many copies stays spread. A url with one page needs no
+    more. Of several copies the first that is not refused is wanted: those are the first copy
+    without any wording of a refusal and the earlier ones with it, which only parsing can
+    judge. Pages without markup are no copies. ``seen`` counts the pages as they are noted.
     """
     rows = prepared(pages)
     shared_dir(rows.sparkSession)
-    copies = (rows.groupBy("url").agg(F.min("ingest_seq").alias("ingest_seq"),
-                                      F.count(F.lit(1)).alias("copies")))
-    fresh = unseen(copies, stored, ["url"]).checkpoint()
-    has_markup = F.coalesce(F.col("html") != "", F.lit(False))
-    alone = (rows.join(fresh.filter("copies = 1").select("url", "ingest_seq"), ["url", "ingest_seq"], "left_semi")
-             .filter(has_markup).withColumn("contested", F.lit(False)))
-    several = (rows.filter(has_markup).join(fresh.filter("copies > 1").select("url"), "url", "left_semi")
-               .withColumn("_doubt", may_be_refused(F.col("html"))))
-    sure = several.filter("not _doubt").groupBy("url").agg(F.min("ingest_seq").alias("_sure"))
-    contested = (several.join(sure, "url", "left")
-                 .filter(F.col("_sure").isNull() | (F.col("ingest_seq") == F.col("_sure"))
-                         | (F.col("_doubt") & (F.col("ingest_seq") < F.col("_sure"))))
-                 .drop("_doubt", "_sure").withColumn("contested", F.lit(True)))
-    return alone.select(*rows.columns, "contested").unionByName(contested.select(*rows.columns, "contested"))
+    noted = rows.select("url", "ingest_seq", F.coalesce(F.col("html") != "", F.lit(False)).alias("_markup"),
+                        F.coalesce(may_be_refused(F.col("html")), F.lit(False)).alias("_doubt"))
+    if seen is not None:
+        noted = noted.observe(seen, F.count(F.lit(1)).alias("pages"))
+    noted = noted.checkpoint().filter(F.col("url") != "")
+    copies = noted.groupBy("url").agg(
+        F.count(F.lit(1)).alias("_copies"),
+        F.min(F.when(F.col("_markup") & ~F.col("_doubt"), F.col("ingest_seq"))).alias("_sure")).checkpoint()
+    known = stored.known_urls(copies) if isinstance(stored, View) else stored
+    fresh = unseen(copies, known, ["url"])
+    wanted = (noted.filter("_markup").join(fresh, "url")
+              .filter((F.col("_copies") == 1) | F.col("_sure").isNull() | (F.col("ingest_seq") == F.col("_sure"))
+                      | (F.col("_doubt") & (F.col("ingest_seq") < F.col("_sure"))))
+              .select("url", "ingest_seq", (F.col("_copies") > 1).alias("contested")))
+    return rows.join(wanted, ["url", "ingest_seq"]).select(*rows.columns, "contested")
 
 
 def first_good(read: DataFrame) -> DataFrame:
@@ -123,9 +126,13 @@ def candidates_of(flat: DataFrame) -> DataFrame:
         flat.withColumn("announcement_id", announcement_id(F.col("url"))), ["announcement_id"])
 
 
+def has_card_key() -> Column:
+    return (F.col("company") != "") & (F.col("contact_name") != "")
+
+
 def kept_candidates(candidates: DataFrame) -> DataFrame:
     """Candidates with both parts of the card key; suppliers have no contact name."""
-    return candidates.filter((F.col("company") != "") & (F.col("contact_name") != ""))
+    return candidates.filter(has_card_key())
 
 
 def winners_of(candidates: DataFrame) -> DataFrame:
@@ -141,13 +148,13 @@ def mentions_of(kept: DataFrame) -> DataFrame:
 
 def ingest(pages: DataFrame, state: State, writer: str | None = None, writer_batch: int | None = None,
            now: datetime | None = None, fill_gaps: bool = False, keep_suppliers: bool = False,
-           whole_cards_every: int = WHOLE_CARDS_EVERY) -> Ingested | None:
+           rewrite_after: int = REWRITE_AFTER) -> Ingested | None:
     """Run one batch against the stored state and commit it.
 
     Pages are parsed once: the flat notices are written next to the state and
-    announcements, cards and mentions are made from that table, and the
-    counters read from it. Refused pages stay in it, flagged, as the table of
-    rejects; of several copies of a url the first one not refused is stored.
+    announcements, cards and mentions are made from that table. Refused pages stay in it,
+    flagged, as the table of rejects; of several copies of a url the first one not refused is
+    stored. The counters are observed while the rows are written.
 
     The state numbers its batches itself. A writer that may run a batch again
     names itself and its own number: what this pair has already committed is
@@ -158,27 +165,29 @@ def ingest(pages: DataFrame, state: State, writer: str | None = None, writer_bat
         return None
     batch = state.claim()
     now = now or datetime.now(timezone.utc).replace(tzinfo=None)
+    seen, judged, new, found = (Observation() for _ in range(4))
 
-    blocks = html_blocks(new_pages(pages, stored.announcements())).withColumn("refused", refused_page())
+    blocks = html_blocks(new_pages(pages, stored, seen)).withColumn("refused", refused_page())
     read = notices(blocks, fill_gaps)
-    state.stage("notices", batch, read)
+    state.stage("notices", batch, read.observe(judged, F.count_if("refused").alias("refused")))
     read = state.staged("notices", batch, read.schema)
     flat = first_good(read)
 
-    state.stage("announcements", batch, announcements_of(flat, now))
+    state.stage("announcements", batch, announcements_of(flat, now).observe(new, F.count(F.lit(1)).alias("new")))
+    announcements = state.staged("announcements", batch, ANNOUNCEMENTS)
+    state.add_urls(batch, announcements)
     candidates = candidates_of(flat)
-    state.stage("candidates", batch, candidates)
-    candidates = state.staged("candidates", batch, candidates.schema)
-    kept = kept_candidates(candidates)
-    covers = state.add_cards(batch, seen_cards(kept, F.lit(now)), stored, whole_cards_every)
+    state.stage("candidates", batch, candidates.observe(found, F.count_if(has_card_key()).alias("kept")))
+    kept = kept_candidates(state.staged("candidates", batch, candidates.schema))
+    cards = state.add_cards(batch, seen_cards(kept, F.lit(now)), stored, rewrite_after)
     # The announcements are new, so none of their mentions can be stored.
     state.stage("mentions", batch, distinct_mentions(mentions_of(kept)))
+    state.stage("statistics", batch, batch_statistics(
+        announcements, kept, state.staged("mentions", batch, MENTIONS)), "kind")
     if keep_suppliers:
-        state.stage("winners", batch, winners_of(candidates))
-    state.commit(batch, covers, writer, writer_batch)
-
-    new = state.staged("announcements", batch, ANNOUNCEMENTS).count()
-    n_refused = read.filter("refused").count()
-    n_pages = pages.count()
-    return Ingested(pages=n_pages, new_notices=new, skipped=n_pages - new - n_refused,
-                    refused=n_refused, card_writes=kept.count())
+        state.stage("winners", batch, winners_of(state.staged("candidates", batch, candidates.schema)))
+    state.commit(batch, cards, writer, writer_batch)
+
+    n_pages, n_new, n_refused = seen.get["pages"], new.get["new"], judged.get["refused"]
+    return Ingested(pages=n_pages, new_notices=n_new, skipped=n_pages - n_new - n_refused,
+                    refused=n_refused, card_writes=found.get["kept"])

@@ -53,6 +53,11 @@ MENTIONS = T.StructType([
     T.StructField("role", STRING),
 ])
 
+STATISTICS = T.StructType([
+    T.StructField("key", STRING),
+    T.StructField("count", T.LongType()),
+])
+
 SEARCH_RESPONSE = T.StructType([
     T.StructField("data", T.ArrayType(T.StructType([
         T.StructField("title", STRING),

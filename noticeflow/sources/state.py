@@ -4,8 +4,10 @@ A state folder holds
 
 * ``announcements``, ``mentions`` and ``contacts``, each ``/batch=N``: rows appended by
   batch N;
-* ``card_changes/batch=N``: the cards batch N has seen, as card rows;
-* ``cards/batch=N``: the whole card table as of batch N, written now and then;
+* ``urls/batch=N/bucket=B``: the urls of those announcements, dealt by hash;
+* ``statistics/batch=N/kind=K``: counts over what batch N has appended;
+* ``card_changes/batch=N/bucket=B``: the cards batch N has seen, as card rows, dealt by key;
+* ``cards/batch=N/bucket=B``: all cards of a bucket as of batch N, written now and then;
 * ``claims/N``: an empty file that the writer of batch N has created;
 * ``commits``: one row per finished batch, written last.
 
@@ -14,9 +16,10 @@ file system grants to one writer only. The row of a commit names the writer and
 the writer's own batch, so a replay is known by these two, whatever other
 writers have stored in between.
 
-Cards are read as the last whole table united with the changes it does not
-cover: uniting cards does not depend on order or grouping, so a batch writes
-what it has seen and the whole table is rewritten only every few batches.
+Cards are read bucket by bucket: the last one written whole, united with the
+changes it does not cover. Uniting cards does not depend on order or grouping, so a
+batch writes what it has seen, and rewrites a bucket only once it has gathered some
+changes; buckets without changes are never touched.
 
 Readers look only at committed batches: a batch that dies half-way is invisible,
 and its number is not used again. Writers that run at once never overwrite each
@@ -25,19 +28,25 @@ other, but both may store a url that neither has seen.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..operators.cards import combine_cards
-from ..schema import ANNOUNCEMENTS, CARDS, CONTACTS, MENTIONS
+from ..schema import ANNOUNCEMENTS, CARDS, CONTACTS, MENTIONS, STATISTICS
 
 COMMITS = T.StructType([T.StructField("batch", T.LongType()),
-                        T.StructField("whole_cards", T.BooleanType()),
-                        T.StructField("covers", T.ArrayType(T.LongType())),
+                        T.StructField("changed", T.ArrayType(T.IntegerType())),
+                        T.StructField("rewritten", T.ArrayType(T.IntegerType())),
+                        T.StructField("not_seen", T.ArrayType(T.LongType())),
                         T.StructField("writer", T.StringType()),
                         T.StructField("writer_batch", T.LongType())])
-WHOLE_CARDS_EVERY = 16
+URLS = T.StructType([T.StructField("url", T.StringType())])
+CARD_BUCKETS = 64
+URL_BUCKETS = 256
+#: A bucket of cards is rewritten when so many batches have changed it.
+REWRITE_AFTER = 4
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -45,28 +54,51 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def card_bucket() -> Column:
+    return F.pmod(F.xxhash64("company", "contact_name"), F.lit(CARD_BUCKETS)).cast("int")
+
+
+def url_bucket(url: str = "url") -> Column:
+    return F.pmod(F.xxhash64(url), F.lit(URL_BUCKETS)).cast("int")
+
+
+@dataclass(frozen=True)
+class Commit:
+    """What a finished batch has done to the cards: buckets it changed and those it
+    rewrote, and the earlier numbers that were not committed when it looked."""
+
+    batch: int
+    changed: frozenset[int] = frozenset()
+    rewritten: frozenset[int] = frozenset()
+    not_seen: frozenset[int] = frozenset()
+
+    def covers(self, batch: int) -> bool:
+        return batch <= self.batch and batch not in self.not_seen
+
+
 @dataclass(frozen=True)
 class View:
     """The tables as of some committed batches; none is the empty state."""
 
     spark: SparkSession
     path: str
-    batches: tuple[int, ...] = ()
-    whole: int = -1                     # last batch that wrote the whole card table
-    covers: tuple[int, ...] = ()        # the batches in that table
+    commits: tuple[Commit, ...] = ()
     written: frozenset = frozenset()    # (writer, writer's batch) of what is committed
 
+    @property
+    def batches(self) -> tuple[int, ...]:
+        return tuple(c.batch for c in self.commits)
+
     @property
     def batch(self) -> int:
         return max(self.batches, default=-1)
 
-    def _appended(self, name: str, schema: T.StructType, but: tuple[int, ...] = ()) -> DataFrame:
-        wanted = sorted(set(self.batches) - set(but))
-        if not wanted or not _exists(self.spark, f"{self.path}/{name}"):
-            return self.spark.createDataFrame([], schema)
-        wide = T.StructType(schema.fields + [T.StructField("batch", T.LongType())])
+    def _appended(self, name: str, schema: T.StructType, *partitions: T.StructField) -> DataFrame:
+        if not self.commits or not _exists(self.spark, f"{self.path}/{name}"):
+            return self.spark.createDataFrame([], T.StructType([*schema.fields, *partitions]))
+        wide = T.StructType([*schema.fields, T.StructField("batch", T.LongType()), *partitions])
         return (self.spark.read.schema(wide).parquet(f"{self.path}/{name}")
-                .filter(F.col("batch").isin(wanted)).drop("batch"))
+                .filter(F.col("batch").isin(sorted(self.batches))).drop("batch"))
 
     def announcements(self) -> DataFrame:
         return self._appended("announcements", ANNOUNCEMENTS)
@@ -77,13 +109,56 @@ class View:
     def contacts(self) -> DataFrame:
         return self._appended("contacts", CONTACTS)
 
-    def cards(self) -> DataFrame:
-        table = (self.spark.read.schema(CARDS).parquet(f"{self.path}/cards/batch={self.whole}")
-                 if self.whole >= 0 else self.spark.createDataFrame([], CARDS))
-        if set(self.covers) >= set(self.batches):
-            return table
-        return combine_cards(table.unionByName(
-            self._appended("card_changes", CARDS, self.covers)))
+    def urls(self) -> DataFrame:
+        """url and bucket of every stored announcement."""
+        return self._appended("urls", URLS, T.StructField("bucket", T.IntegerType()))
+
+    def known_urls(self, asked: DataFrame) -> DataFrame:
+        """Stored urls of the buckets that the asked urls are in; other buckets are not read.
+
+        At most ``URL_BUCKETS`` numbers are broadcast. Spark prunes partitions by a side only
+        if a comparison says that it may be selective; this one holds for all buckets.
+        """
+        bucket = url_bucket()
+        buckets = F.broadcast(asked.filter(bucket >= 0).select(bucket.alias("bucket")).distinct())
+        return self.urls().join(buckets, "bucket", "left_semi").select("url")
+
+    def statistics(self, kind: str) -> DataFrame:
+        """(key, count) summed over the states of all batches; see ``plans.statistics``."""
+        found = self._appended("statistics", STATISTICS, T.StructField("kind", T.StringType()))
+        return (found.filter(F.col("kind") == kind).groupBy("key").agg(F.sum("count").alias("count")))
+
+    def _bucketed(self, name: str, where: Iterable[tuple[int, int]]) -> DataFrame:
+        schema = T.StructType([*CARDS.fields, T.StructField("batch", T.LongType()), T.StructField("bucket", T.IntegerType())])
+        paths = [f"{self.path}/{name}/batch={n}/bucket={b}" for n, b in sorted(where)]
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("basePath", f"{self.path}/{name}").parquet(*paths)
+
+    def whole_buckets(self) -> dict[int, Commit]:
+        """The last batch that wrote each bucket of cards whole."""
+        return {b: c for c in sorted(self.commits, key=lambda c: c.batch) for b in c.rewritten}
+
+    def loose_changes(self) -> dict[int, list[int]]:
+        """By bucket, the batches whose changes no whole bucket covers."""
+        whole, loose = self.whole_buckets(), {}
+        for c in self.commits:
+            for b in c.changed:
+                if b not in whole or not whole[b].covers(c.batch):
+                    loose.setdefault(b, []).append(c.batch)
+        return loose
+
+    def cards(self, buckets: Iterable[int] | None = None) -> DataFrame:
+        """All cards, or those of some buckets; only buckets with loose changes are regrouped."""
+        asked = None if buckets is None else set(buckets)
+        whole = {b: c.batch for b, c in self.whole_buckets().items() if asked is None or b in asked}
+        loose = {b: ns for b, ns in self.loose_changes().items() if asked is None or b in asked}
+        settled = self._bucketed("cards", [(n, b) for b, n in whole.items() if b not in loose])
+        if not loose:
+            return settled.select(*CARDS.fieldNames())
+        moving = self._bucketed("cards", [(n, b) for b, n in whole.items() if b in loose]).unionByName(
+            self._bucketed("card_changes", [(n, b) for b, ns in loose.items() for n in ns]))
+        return settled.select(*CARDS.fieldNames()).unionByName(combine_cards(moving))
 
 
 @dataclass(frozen=True)
@@ -97,9 +172,9 @@ class State:
             return View(self.spark, self.path)
         # One short row per batch.
         rows = self.spark.read.schema(COMMITS).json(f"{self.path}/commits").collect()
-        whole = max((r for r in rows if r.whole_cards), key=lambda r: r.batch, default=None)
-        return View(self.spark, self.path, tuple(sorted(r.batch for r in rows)),
-                    whole.batch if whole else -1, tuple(whole.covers or ()) if whole else (),
+        commits = tuple(Commit(r.batch, *(frozenset(x or ()) for x in (r.changed, r.rewritten, r.not_seen)))
+                        for r in sorted(rows, key=lambda r: r.batch))
+        return View(self.spark, self.path, commits,
                     frozenset((r.writer, r.writer_batch) for r in rows if r.writer is not None))
 
     def claim(self) -> int:
@@ -136,23 +211,33 @@ class State:
         """Rows a batch has written, committed or not."""
         return self.spark.read.schema(schema).parquet(f"{self.path}/{name}/batch={batch}")
 
-    def stage(self, name: str, batch: int, df: DataFrame) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/{name}/batch={batch}")
-
-    def add_cards(self, batch: int, seen: DataFrame, view: View,
-                  every: int = WHOLE_CARDS_EVERY) -> tuple[int, ...] | None:
-        """Stage what a batch has seen; the batches covered by the whole table if it wrote that, too."""
-        before = view.cards()
-        self.stage("card_changes", batch, combine_cards(seen))
-        if (batch + 1) % every:
-            return None
-        changes = self.staged("card_changes", batch, CARDS)
-        self.stage("cards", batch, combine_cards(before.unionByName(changes)))
-        return (*view.batches, batch)
-
-    def commit(self, batch: int, covers: tuple[int, ...] | None = None,
+    def stage(self, name: str, batch: int, df: DataFrame, by: str | None = None) -> None:
+        """Write rows of a batch; ``by`` names a column that deals them into folders."""
+        writer = (df if by is None else df.repartition(by)).write.mode("overwrite")
+        (writer if by is None else writer.partitionBy(by)).parquet(f"{self.path}/{name}/batch={batch}")
+
+    def add_urls(self, batch: int, urls: DataFrame) -> None:
+        self.stage("urls", batch, urls.select("url", url_bucket().alias("bucket")), "bucket")
+
+    def add_cards(self, batch: int, seen: DataFrame, view: View, rewrite_after: int = REWRITE_AFTER) -> Commit:
+        """Stage what a batch has seen, and whole the buckets that have gathered enough changes."""
+        self.stage("card_changes", batch, combine_cards(seen).withColumn("bucket", card_bucket()), "bucket")
+        with_bucket = T.StructType([*CARDS.fields, T.StructField("bucket", T.IntegerType())])
+        changes = self.staged("card_changes", batch, with_bucket)
+        changed = [r.bucket for r in changes.select("bucket").distinct().collect()]  # at most CARD_BUCKETS
+        loose = view.loose_changes()
+        rewritten = [b for b in changed if len(loose.get(b, ())) + 1 >= rewrite_after]
+        if rewritten:
+            whole = combine_cards(view.cards(rewritten).unionByName(
+                changes.filter(F.col("bucket").isin(rewritten)).drop("bucket")))
+            self.stage("cards", batch, whole.withColumn("bucket", card_bucket()), "bucket")
+        return Commit(batch, frozenset(changed), frozenset(rewritten),
+                      frozenset(range(batch)) - frozenset(view.batches))
+
+    def commit(self, batch: int, cards: Commit | None = None,
                writer: str | None = None, writer_batch: int | None = None) -> None:
         """Make a batch visible: one file, written last."""
-        row = (batch, covers is not None, list(covers) if covers else None, writer, writer_batch)
+        c = cards or Commit(batch)
+        row = (batch, sorted(c.changed), sorted(c.rewritten), sorted(c.not_seen) if c.rewritten else [], writer, writer_batch)
         (self.spark.createDataFrame([row], COMMITS).coalesce(1)
          .write.mode("append").json(f"{self.path}/commits"))

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.text import clean_url
-from ..operators.dedupe import dedupe_first
 from ..plans.ingest import ingest
 from ..schema import PAGES
 from ..sources.state import State
@@ -47,7 +46,7 @@ def first_seen(pages: DataFrame, delay: str = "1 day", time: str = "scraped_at",
     State is bounded by the delay, and so is the answer: a page that arrives
     later than the delay is dropped even if its url is new, and copies further
     apart than the delay both pass. Where neither will do use
-    ``first_seen_table``, whose memory is what it has written.
+    ``first_seen_table``, whose state is never forgotten.
 
     ``spread_by`` names a column that differs between copies of one url. With
     it copies are first dropped in 64 parts of each url and then overall, so a
@@ -61,24 +60,48 @@ def first_seen(pages: DataFrame, delay: str = "1 day", time: str = "scraped_at",
     return once.dropDuplicatesWithinWatermark(["url"])
 
 
-def first_seen_table(pages: DataFrame, out: str, checkpoint: str, order: str = "ingest_seq",
-                     available_now: bool = True, interval: str = "1 minute") -> StreamingQuery:
-    """First page per cleaned url however late it is, appended to ``out``.
+#: State of any size: on the executors' disks, its changes in the progress folder.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
 
-    A micro-batch keeps the first of its pages for each url that no earlier
-    micro-batch has written. It owns the folder of its number and overwrites
-    it, so a replay changes nothing. A hot url costs one row per map task.
+def first_seen_ever(pages: DataFrame, spread_by: str | None = None) -> DataFrame:
+    """First page per cleaned url however late it is (T2): a state keyed by url, never forgotten.
+
+    Of copies in one micro-batch any may pass. Start the query with ``STATE_STORE`` set, so
+    that the state need not fit in memory. ``spread_by`` as in ``first_seen``.
     """
-    def run(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = dedupe_first(batch.withColumn("url", clean_url(F.col("url"))), ["url"], order)
-        if number:
-            wide = T.StructType([T.StructField("url", T.StringType()), T.StructField("batch", T.LongType())])
-            before = spark.read.schema(wide).parquet(out).filter(F.col("batch") < number).select("url")
-            rows = rows.join(before, "url", "left_anti")
-        rows.write.mode("overwrite").parquet(f"{out}/batch={number}")
+    once = pages.withColumn("url", clean_url(F.col("url")))
+    if spread_by:
+        part = F.pmod(F.xxhash64(spread_by), F.lit(64))
+        once = once.withColumn("_part", part).dropDuplicates(["url", "_part"]).drop("_part")
+    return once.dropDuplicates(["url"])
 
-    writer = pages.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
-    writer = (writer.trigger(availableNow=True) if available_now
-              else writer.trigger(processingTime=interval))
-    return writer.start()
+
+def first_seen_table(pages: DataFrame, out: str, checkpoint: str, spread_by: str | None = None,
+                     available_now: bool = True, interval: str = "1 minute") -> StreamingQuery:
+    """``first_seen_ever`` written to ``out``, each url once.
+
+    A micro-batch reads its own pages and the states of their urls; what it has written is
+    never read back. The state and the sink's log name the micro-batch, so a replay after
+    a lost executor or driver changes nothing.
+    """
+    spark = pages.sparkSession
+    before = {k: spark.conf.get(k, None) for k in STATE_STORE}
+    for k, v in STATE_STORE.items():
+        spark.conf.set(k, v)
+    try:
+        writer = (first_seen_ever(pages, spread_by).writeStream.format("parquet")
+                  .option("checkpointLocation", checkpoint))
+        writer = (writer.trigger(availableNow=True) if available_now
+                  else writer.trigger(processingTime=interval))
+        return writer.start(out)  # a query keeps the settings it was started with
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)

@@ -131,7 +131,7 @@ def test_known_pages_never_reach_the_parser(spark, pages):
     stored = spark.createDataFrame([("http://n/1",)], "url string")
     df = plan.parsed_pages(plan.new_pages(pages, stored))
     text = plan_of(df)
-    assert text.index("MapInArrow") < text.index("LeftSemi")
+    assert text.index("MapInArrow") < text.index("LeftAnti")
 
 
 def test_stream_equals_batch(spark, pages, tmp_path):
@@ -162,14 +162,18 @@ def test_first_seen(spark, tmp_path, spread_by):
     assert urls == ["", "http://n/1", "http://n/2", "http://n/3", "http://n/4"]
 
 
-def test_first_seen_table_keeps_late_pages(spark, tmp_path):
+@pytest.mark.parametrize("spread_by", [None, "ingest_seq"])
+def test_first_seen_table_keeps_late_pages(spark, tmp_path, spread_by):
     arriving, out = str(tmp_path / "in"), str(tmp_path / "out")
     rows = [("//n/1", 1, 100), ("//n/2", 2, 1), ("http://n/1", 3, 50), ("//n/3", 4, 0), ("http://n/2 ", 5, 200)]
-    for url, seq, at in rows:
-        (spark.createDataFrame([(url, seq, datetime(2024, 1, 1).replace(year=2000 + at % 30))],
-                               "url string, ingest_seq long, scraped_at timestamp")
-         .coalesce(1).write.mode("append").parquet(arriving))
+    for part in (rows[:3], rows[3:]):
+        for url, seq, at in part:
+            (spark.createDataFrame([(url, seq, datetime(2024, 1, 1).replace(year=2000 + at % 30))],
+                                   "url string, ingest_seq long, scraped_at timestamp")
+             .coalesce(1).write.mode("append").parquet(arriving))
         stream = page_stream(spark, arriving, spark.read.parquet(arriving).schema, files_per_trigger=1)
-        first_seen_table(stream, out, str(tmp_path / "cp")).awaitTermination()
+        query = first_seen_table(stream, out, str(tmp_path / "cp"), spread_by)
+        query.awaitTermination()
     got = sorted((r.url, r.ingest_seq) for r in spark.read.parquet(out).collect())
     assert got == [("http://n/1", 1), ("http://n/2", 2), ("http://n/3", 4)]
+    assert any("rocksdb" in k.lower() for s in query.lastProgress["stateOperators"] for k in s["customMetrics"])

@@ -104,9 +104,7 @@ def test_dedupe_first_and_insert_or_ignore(spark):
     assert again.count() == 0
 
 
-@pytest.mark.parametrize("bound", [0, 100_000])
-def test_unseen_by_either_way(spark, monkeypatch, bound):
-    monkeypatch.setattr(dedupe, "is_small", lambda df: bound > 0)
+def test_unseen(spark):
     both = spark.createDataFrame([("b", 5), ("b", 4), ("d", 6), ("d", 7)], "url string, x int")
     old = spark.createDataFrame([("b",)], "url string")
     assert [r.x for r in dedupe.insert_or_ignore(old, both, ["url"], "x").collect()] == [6]
@@ -149,10 +147,3 @@ def test_dedupe_either_on_a_chain(spark):
 def test_distinct_rows(spark):
     df = spark.createDataFrame([(1, "a"), (1, "b")], "x int, y string")
     assert dedupe.distinct_rows(df, ["x", "z"]).count() == 1
-
-
-def test_is_small_looks_at_rows_and_bytes(spark, monkeypatch):
-    df = spark.createDataFrame([("ab", 1), (None, 2)], "x string, y int")
-    assert sizing.is_small(df, 2) and not sizing.is_small(df, 1) and sizing.is_small(df.limit(0), 0)
-    monkeypatch.setattr(sizing, "BROADCAST_BYTES", 1)
-    assert not sizing.is_small(df, 2)

@@ -10,10 +10,10 @@ import __spark_entry__ as entry
 PYTHON = {"page_blocks", "page_titles", "page_details", "page_links", "page_contacts", "titled_links", "refusal_pages",
           "result_items", "notice_meta", "table_cells", "table_profile", "table_fields", "notice_sections",
           "table_contacts", "text_contacts", "notice_contacts", "notice_text", "flat_notices", "notice_candidates",
-          "notice_winners", "listed_notices"}
+          "notice_winners", "listed_notices", "keyword_table"}
 EAGER = {"ingest", "ingest_counters", "ingest_stream", "stream_dedupe", "export_by_province", "export_by_day",
          "dedupe_title_or_url", "notice_cards", "ingest_mixed", "stream_dedupe_late", "export_all",
-         "export_all_contacts", "export_all_summary"}
+         "export_all_contacts", "export_all_summary", "batch_statistics"}
 
 
 @pytest.mark.parametrize("name", sorted(set(entry.QUERIES) - EAGER))

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+from uuid import uuid4
+
+from pyspark.sql import DataFrame, functions as F
 
 from noticeflow.operators import cards, contacts
+from noticeflow.operators.text_index import TextIndex
+from noticeflow.session import shared_dir
 from noticeflow.sources import exports
 
 from .registry import query
@@ -114,6 +119,18 @@ def cards_by_company_like(spark, sf):
                                            "tion", like=True))
 
 
+CARD_SEARCHED = ("tion_1", "01", "ler#0", "zz", "%nation%7")
+
+
+@query("card_search_indexed", f"""WITH {C} """ + " UNION ALL ".join(
+    f"SELECT '{q}' AS q, id FROM c WHERE company ILIKE '%{q}%' OR contact_name ILIKE '%{q}%'" for q in CARD_SEARCHED))
+def card_search_indexed(spark, sf):
+    """Cards by company or contact through a stored index, for several search texts."""
+    index = TextIndex(spark, f"{shared_dir(spark)}/noticeflow-index-{uuid4().hex}", ("company", "contact_name"), blocks=16, buckets=8)
+    index.add(card_table(spark, sf).select("id", "company", "contact_name"))
+    return reduce(DataFrame.unionByName, [index.search(q).select(F.lit(q).alias("q"), "id") for q in CARD_SEARCHED])
+
+
 @query("cards_export", f"""WITH {C}, {M}
 SELECT company, contact_name, phones, emails, count(DISTINCT announcement_id) AS projects_count,
   created_s, updated_s FROM c LEFT JOIN m ON m.business_card_id = c.id

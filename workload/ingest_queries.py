@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from noticeflow.plans import statistics
 from noticeflow.plans.ingest import ingest as run_ingest
 from noticeflow.schema import PAGES
 from noticeflow.session import shared_dir
@@ -58,10 +60,13 @@ def ingest(spark, sf):
     return _stored(state)
 
 
-@query("ingest_counters", """SELECT 0 AS batch, count(*) AS pages, count(*) AS new_notices, 0 AS skipped, 0 AS refused
+@query("ingest_counters", f"""WITH {N}, {CANDIDATES_SQL}, w AS (SELECT c_mktsegment IN ('AUTOMOBILE', 'HOUSEHOLD') AS later, count(*) AS card_writes
+  FROM cand JOIN customer ON c_custkey = page_id WHERE contact_name != '' AND company != '' GROUP BY later)
+SELECT 0 AS batch, count(*) AS pages, count(*) AS new_notices, 0 AS skipped, 0 AS refused,
+  (SELECT card_writes FROM w WHERE NOT later) AS card_writes
 FROM customer WHERE c_mktsegment NOT IN ('AUTOMOBILE', 'HOUSEHOLD')
 UNION ALL SELECT 1, count(*) + 25, count(*) FILTER (WHERE c_mktsegment IN ('AUTOMOBILE', 'HOUSEHOLD')),
-  count(*) FILTER (WHERE c_mktsegment NOT IN ('AUTOMOBILE', 'HOUSEHOLD')), 25 FROM customer""")
+  count(*) FILTER (WHERE c_mktsegment NOT IN ('AUTOMOBILE', 'HOUSEHOLD')), 25, (SELECT card_writes FROM w WHERE later) FROM customer""")
 def ingest_counters(spark, sf):
     """Counters of the same two batches; one refusal page per nation joins the second."""
     pages = derived_notices(spark, sf)
@@ -74,8 +79,31 @@ def ingest_counters(spark, sf):
     runs = [run_ingest(pages.filter(F.col("html").contains("陈明")), state, now=NOW),
             run_ingest(pages.unionByName(refusals, allowMissingColumns=True), state, now=NOW)]
     return spark.createDataFrame(
-        [(i, r.pages, r.new_notices, r.skipped, r.refused) for i, r in enumerate(runs)],
-        "batch long, pages long, new_notices long, skipped long, refused long")
+        [(i, r.pages, r.new_notices, r.skipped, r.refused, r.card_writes) for i, r in enumerate(runs)],
+        "batch long, pages long, new_notices long, skipped long, refused long, card_writes long")
+
+
+@query("batch_statistics", f"""WITH {N}, {CANDIDATES_SQL}, k AS (SELECT DISTINCT page_id, company, contact_name, role FROM cand
+  WHERE contact_name != '' AND company != '')
+SELECT 'total' AS kind, 'announcements' AS key, count(*) AS count FROM n
+UNION ALL SELECT 'total', 'mentions', count(*) FROM k
+UNION ALL SELECT 'source', 'ccgp-bxsearch', count(*) FROM n
+UNION ALL SELECT 'day', '2024-1-' || n, count(*) FROM n GROUP BY n
+UNION ALL SELECT 'role', role, count(*) FROM k GROUP BY role
+UNION ALL SELECT 'company', company, count(DISTINCT page_id) FROM k GROUP BY company
+UNION ALL SELECT 'projects', CAST(projects AS VARCHAR), count(*)
+  FROM (SELECT count(DISTINCT page_id) AS projects FROM k GROUP BY company, contact_name) GROUP BY projects""")
+def batch_statistics(spark, sf):
+    """Statistics from the states of two batches, without reading what they have stored."""
+    pages = derived_notices(spark, sf)
+    state = State(spark, _folder(spark, "state"))
+    run_ingest(pages.filter(F.col("html").contains("陈明")), state, now=NOW)
+    run_ingest(pages, state, now=NOW)
+    view = state.view()
+    parts = [view.statistics(k).select(F.lit(k).alias("kind"), "key", "count") for k in ("total", "source", "day", "role", "company")]
+    projects = (statistics.with_project_counts(view.cards(), view).groupBy(F.col("projects_count").cast("string").alias("key"))
+                .agg(F.count(F.lit(1)).alias("count")).select(F.lit("projects").alias("kind"), "key", "count"))
+    return reduce(DataFrame.unionByName, [*parts, projects])
 
 
 @query("ingest_stream", STORED_SQL)

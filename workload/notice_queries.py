@@ -5,10 +5,11 @@ from __future__ import annotations
 from functools import reduce
 from uuid import uuid4
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from noticeflow.functions import text
 from noticeflow.operators import dedupe, notices
+from noticeflow.operators.text_index import TextIndex
 from noticeflow.plans.search import Field, Goods, Kind, Period, SearchParams, search_notices
 from noticeflow.session import shared_dir
 from noticeflow.sources import exports, keywords
@@ -44,6 +45,19 @@ def notice_search(spark, sf):
     return notices.search(texts(spark, sf), q="the_re").select("id", "title", "url", "source")
 
 
+SEARCHED = ("the_re", "token", "under the", "%licens%d %", "zqzq", "a")
+
+
+@query("notice_search_indexed", f"""WITH {D} """ + " UNION ALL ".join(
+    f"SELECT '{q}' AS q, id FROM d WHERE title ILIKE '%{q}%' OR content ILIKE '%{q}%'" for q in SEARCHED))
+def notice_search_indexed(spark, sf):
+    """The same search through a stored index, for several search texts."""
+    index = TextIndex(spark, f"{shared_dir(spark)}/noticeflow-index-{uuid4().hex}", ("title", "content"))
+    index.add(texts(spark, sf).select("id", "title", "content"))
+    found = [index.search(q).select(F.lit(q).alias("q"), "id") for q in SEARCHED]
+    return reduce(DataFrame.unionByName, found)
+
+
 @query("notice_page", f"""WITH {A} SELECT {LIST} FROM a
 WHERE (title ILIKE '%h%') ORDER BY publish_date DESC, url LIMIT 50 OFFSET 100""")
 def notice_page(spark, sf):
