@@ -43,8 +43,10 @@ COMMITS = T.StructType([T.StructField("batch", T.LongType()),
                         T.StructField("writer", T.StringType()),
                         T.StructField("writer_batch", T.LongType())])
 URLS = T.StructType([T.StructField("url", T.StringType())])
-CARD_BUCKETS = 64
-URL_BUCKETS = 256
+#: Folders of a batch. A large state wants more of them, up to about one for each 128 MB of
+#: stored cards or urls; a state keeps the numbers that it was begun with.
+CARD_BUCKETS = 32
+URL_BUCKETS = 64
 #: A bucket of cards is rewritten when so many batches have changed it.
 REWRITE_AFTER = 4
 
@@ -54,12 +56,8 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def card_bucket() -> Column:
-    return F.pmod(F.xxhash64("company", "contact_name"), F.lit(CARD_BUCKETS)).cast("int")
-
-
-def url_bucket(url: str = "url") -> Column:
-    return F.pmod(F.xxhash64(url), F.lit(URL_BUCKETS)).cast("int")
+def bucket_of(buckets: int, *key: str) -> Column:
+    return F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
 
 
 @dataclass(frozen=True)
@@ -84,6 +82,7 @@ class View:
     path: str
     commits: tuple[Commit, ...] = ()
     written: frozenset = frozenset()    # (writer, writer's batch) of what is committed
+    url_buckets: int = URL_BUCKETS
 
     @property
     def batches(self) -> tuple[int, ...]:
@@ -116,10 +115,10 @@ class View:
     def known_urls(self, asked: DataFrame) -> DataFrame:
         """Stored urls of the buckets that the asked urls are in; other buckets are not read.
 
-        At most ``URL_BUCKETS`` numbers are broadcast. Spark prunes partitions by a side only
+        At most ``url_buckets`` numbers are broadcast. Spark prunes partitions by a side only
         if a comparison says that it may be selective; this one holds for all buckets.
         """
-        bucket = url_bucket()
+        bucket = bucket_of(self.url_buckets, "url")
         buckets = F.broadcast(asked.filter(bucket >= 0).select(bucket.alias("bucket")).distinct())
         return self.urls().join(buckets, "bucket", "left_semi").select("url")
 
@@ -165,17 +164,22 @@ class View:
 class State:
     spark: SparkSession
     path: str
+    card_buckets: int = CARD_BUCKETS
+    url_buckets: int = URL_BUCKETS
+
+    def _card_bucket(self) -> Column:
+        return bucket_of(self.card_buckets, "company", "contact_name")
 
     def view(self) -> View:
         """What is committed now."""
         if not _exists(self.spark, f"{self.path}/commits"):
-            return View(self.spark, self.path)
+            return View(self.spark, self.path, url_buckets=self.url_buckets)
         # One short row per batch.
         rows = self.spark.read.schema(COMMITS).json(f"{self.path}/commits").collect()
         commits = tuple(Commit(r.batch, *(frozenset(x or ()) for x in (r.changed, r.rewritten, r.not_seen)))
                         for r in sorted(rows, key=lambda r: r.batch))
         return View(self.spark, self.path, commits,
-                    frozenset((r.writer, r.writer_batch) for r in rows if r.writer is not None))
+                    frozenset((r.writer, r.writer_batch) for r in rows if r.writer is not None), self.url_buckets)
 
     def claim(self) -> int:
         """The next free batch number; no two writers get the same."""
@@ -217,20 +221,20 @@ class State:
         (writer if by is None else writer.partitionBy(by)).parquet(f"{self.path}/{name}/batch={batch}")
 
     def add_urls(self, batch: int, urls: DataFrame) -> None:
-        self.stage("urls", batch, urls.select("url", url_bucket().alias("bucket")), "bucket")
+        self.stage("urls", batch, urls.select("url", bucket_of(self.url_buckets, "url").alias("bucket")), "bucket")
 
     def add_cards(self, batch: int, seen: DataFrame, view: View, rewrite_after: int = REWRITE_AFTER) -> Commit:
         """Stage what a batch has seen, and whole the buckets that have gathered enough changes."""
-        self.stage("card_changes", batch, combine_cards(seen).withColumn("bucket", card_bucket()), "bucket")
+        self.stage("card_changes", batch, combine_cards(seen).withColumn("bucket", self._card_bucket()), "bucket")
         with_bucket = T.StructType([*CARDS.fields, T.StructField("bucket", T.IntegerType())])
         changes = self.staged("card_changes", batch, with_bucket)
-        changed = [r.bucket for r in changes.select("bucket").distinct().collect()]  # at most CARD_BUCKETS
+        changed = [r.bucket for r in changes.select("bucket").distinct().collect()]  # at most card_buckets
         loose = view.loose_changes()
         rewritten = [b for b in changed if len(loose.get(b, ())) + 1 >= rewrite_after]
         if rewritten:
             whole = combine_cards(view.cards(rewritten).unionByName(
                 changes.filter(F.col("bucket").isin(rewritten)).drop("bucket")))
-            self.stage("cards", batch, whole.withColumn("bucket", card_bucket()), "bucket")
+            self.stage("cards", batch, whole.withColumn("bucket", self._card_bucket()), "bucket")
         return Commit(batch, frozenset(changed), frozenset(rewritten),
                       frozenset(range(batch)) - frozenset(view.batches))
 
