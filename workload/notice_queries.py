@@ -52,7 +52,7 @@ SEARCHED = ("the_re", "token", "under the", "%licens%d %", "zqzq", "a")
     f"SELECT '{q}' AS q, id FROM d WHERE title ILIKE '%{q}%' OR content ILIKE '%{q}%'" for q in SEARCHED))
 def notice_search_indexed(spark, sf):
     """The same search through a stored index, for several search texts."""
-    index = TextIndex(spark, f"{shared_dir(spark)}/noticeflow-index-{uuid4().hex}", ("title", "content"))
+    index = TextIndex(spark, f"{shared_dir(spark)}/noticeflow-index-{uuid4().hex}", ("title", "content"), blocks=64, buckets=16)
     index.add(texts(spark, sf).select("id", "title", "content"))
     found = [index.search(q).select(F.lit(q).alias("q"), "id") for q in SEARCHED]
     return reduce(DataFrame.unionByName, found)
