@@ -10,7 +10,9 @@ number per text depends on the registers, not on the length.
 Bands of registers propose pairs, and every link is verified on the whole multisets. Equal
 texts are one node. In a round every bucket has one representative, and its nodes are
 compared with it; buckets whose nodes are then connected are done, so the pairs of a round
-are at most the rows of the buckets. After the rounds, nodes outside the largest class of
+are at most the rows of the buckets. The first round takes the first few bands alone: they
+connect most of a family, and the buckets of its other bands are then done unseen. The next
+takes all bands that are left. After the rounds, nodes outside the largest class of
 their bucket are compared with all nodes of other classes there, so no link is lost. Pairs
 are made only if the similarity is possible: by their lengths and by parities of their shingles,
 two bounds that no linked pair breaks.
@@ -31,7 +33,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 32
 ROWS = 5  # a pair at 0.8 shares no band once in 300,000
-ROUNDS = 2
+ROUNDS = 3
+FIRST_BANDS = 4
 PARITY_BITS = 1024
 SLICE_BYTES = 1 << 20
 U64 = np.uint64
@@ -237,7 +240,7 @@ def odd_slots(parity: list[str]):
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE,
             least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS,
-            rounds: int = ROUNDS) -> DataFrame:
+            rounds: int = ROUNDS, first_bands: int = FIRST_BANDS) -> DataFrame:
     """doc_id, class_id (the least doc_id of its class), n_links of every row of docs.
 
     Two texts are linked if they are equal or their multisets of shingles have a weighted
@@ -250,7 +253,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: i
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     parity = [f"p{i}" for i in range(PARITY_BITS // 64)]
     drawn = saved(sketch(docs, "text", size, bands, rows), "sketch").dropDuplicates(["node"])
-    buckets = saved(drawn.select("node", F.explode("bands").alias("key")), "buckets")
+    buckets = saved(drawn.select("node", F.posexplode("bands").alias("band", "key")), "buckets")
     # Keys that occur once cannot link: they go before anything is joined.
     shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
     met = saved(buckets.join(shared, "key", "left_semi")
@@ -275,14 +278,16 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: i
     for turn in range(rounds + 1):
         if turn < rounds:
             # One representative for each bucket, another one each round.
-            rep = (rest.groupBy("key").agg(F.min(F.struct(
+            here = rest.where(F.col("band") < first_bands) if turn == 0 and rounds > 1 else rest
+            rep = (here.groupBy("key").agg(F.min(F.struct(
                 F.xxhash64("node", F.lit(turn)).alias("h"), *side)).alias("rep")).select("key", "rep.*"))
         else:
             # What is still apart: nodes outside the largest class of their bucket against the others.
             size_of = rest.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
             main = size_of.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
+            here = rest
             rep = rest.join(main, "key").where("label != main").select("key", *side)
-        pairs = rest.join(rep, "key").where((F.col("label") != F.col("label_b")) & alike).select(*ordered).distinct()
+        pairs = here.join(rep, "key").where((F.col("label") != F.col("label_b")) & alike).select(*ordered).distinct()
         if checked is not None:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
         pairs = saved(pairs, "pairs")
@@ -294,9 +299,11 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: i
             named = (rest.drop("label").join(label, "node", "left")
                      .withColumn("label", F.coalesce("label", "node")))
             named = saved(named, "named")
+            # Two nodes that were compared are done; bands not seen yet stay.
+            unseen = F.col("band") >= (first_bands if turn == 0 and rounds > 1 else bands)
             open_keys = (named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"),
-                                                  F.count(F.lit(1)).alias("c"))
-                         .where("x != y and c > 2").select("key"))
+                                                  F.count(F.lit(1)).alias("c"), F.max(unseen).alias("unseen"))
+                         .where("x != y and (c > 2 or unseen)").select("key"))
             rest = saved(named.join(open_keys, "key", "left_semi"), "rest")
     degree = links.select("a").union(links.select("b")).groupBy("a").count().toDF("node", "n_links")
     node = docs.select("doc_id", node_of("text").alias("node"))

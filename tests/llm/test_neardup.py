@@ -112,6 +112,23 @@ def test_no_pair_of_a_band_is_turned_away(spark):
     assert {r["doc_id"]: r["class_id"] for r in got} == {i: i - i % 2 for i in range(len(texts))}
 
 
+def test_pairs_of_a_large_family_grow_with_its_texts(spark, monkeypatch):
+    rng = random.Random(12)
+    base = [f"f{i}" for i in range(120)]
+    texts = []
+    for k in range(600):  # edits next to each other, so that five-word runs stay alike at 0.8 or little less
+        w, at = base[:], rng.randrange(110)
+        w[at:at + k % 5] = [f"e{rng.randrange(9_000)}" for _ in range(k % 5)]
+        texts.append(" ".join(w))
+    seen = []
+    plain = neardup.verified
+    monkeypatch.setattr(neardup, "verified", lambda pairs, *more: seen.append(pairs.count()) or plain(pairs, *more))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(docs).collect()}
+    assert got == dict(enumerate(brute_classes(texts)))
+    assert sum(seen) < 6 * len(texts)
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert neardup.classes(docs).collect() == [] and neardup.deduplicated(docs).collect() == []
