@@ -57,15 +57,16 @@ def distinct_rows(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def dedupe_either(df: DataFrame, order: str, title: str = "title", url: str = "url",
-                  max_rounds: int = 200) -> DataFrame:
+                  max_rounds: int | None = None) -> DataFrame:
     """Drop a row when its title or its url equals that of an earlier *kept* row.
 
     Works on (title, url, first order) only. Each round keeps every undecided
     row that is first in both its title group and its url group and drops the
     rows that share a title or url with one just kept; at least the first
     undecided row is settled each round. Rounds are written to the shared
-    checkpoint folder, so lineage stays short. Raises when rows are left
-    undecided after ``max_rounds``.
+    checkpoint folder, so lineage stays short. Rounds follow the longest chain of
+    rows that alternately share titles and urls. With ``max_rounds`` it raises
+    when rows are left undecided after so many.
     """
     spark = df.sparkSession
     shared_dir(spark)
@@ -75,7 +76,7 @@ def dedupe_either(df: DataFrame, order: str, title: str = "title", url: str = "u
                            text_or_empty(F.col(url)).alias("u"), F.col(order).alias("o"))
                  .groupBy("t", "u").agg(F.min("o").alias("o"))).checkpoint()
     kept: list[DataFrame] = []
-    for _ in range(max_rounds):
+    while max_rounds is None or len(kept) < max_rounds:
         first_of_title = undecided.groupBy("t").agg(F.min("o").alias("o"))
         first_of_url = undecided.groupBy("u").agg(F.min("o").alias("o"))
         chosen = first_of_title.join(first_of_url, "o").select("t", "u", "o").checkpoint()

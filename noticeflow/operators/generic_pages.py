@@ -86,17 +86,23 @@ def generic_contact(blocks: DataFrame) -> DataFrame:
                     none_if_empty(F.regexp_extract("_text", EMAIL, 0)).alias("email")))
 
 
-def _found(order: int, pred: dom.Predicate) -> Column:
+def _found(order: int, pred: dom.Predicate, most: int | None) -> Column:
     """The first elements a selector finds, with its place among the selectors."""
-    return F.transform(F.slice(dom.find_all(dom.els(), pred), 1, HITS_PER_SELECTOR),
+    hits = dom.find_all(dom.els(), pred)
+    return F.transform(hits if most is None else F.slice(hits, 1, most),
                        lambda e: F.struct(F.lit(order).alias("order"), e.alias("e")))
 
 
 @built_once
 def link_hits() -> Column:
-    """array<struct<order,title,url,date>>: the selectors' links in turn, until
-    more than ten are found. Relative links are joined to the parts in ``_base``."""
-    found = F.concat(*[_found(i, pred) for i, pred in enumerate((
+    return link_hits_within(HITS_PER_SELECTOR, ENOUGH_LINKS)
+
+
+def link_hits_within(per_selector: int | None, enough: int | None) -> Column:
+    """array<struct<order,title,url,date>>: the selectors' links in turn, until more than
+    ``enough`` are found, each selector's first ``per_selector`` elements; None lifts a limit.
+    Relative links are joined to the parts in ``_base``."""
+    found = F.concat(*[_found(i, pred, per_selector) for i, pred in enumerate((
         dom.both(dom.tag_is("a"), dom.class_like("title|link|item")),
         dom.both(dom.tag_is("a"),
                  lambda e: F.coalesce(e["href"].rlike(r"(?i)\.(html|shtml|asp)\z"), F.lit(False))),
@@ -126,17 +132,24 @@ def link_hits() -> Column:
     def until_enough(hs: Column) -> Column:
         # A selector is tried while those before it have found ten or fewer.
         tried = F.filter(F.sequence(F.lit(0), F.lit(4)), lambda k: (
-            F.size(F.filter(hs, lambda h: h["order"] < k)) <= ENOUGH_LINKS))
+            F.size(F.filter(hs, lambda h: h["order"] < k)) <= enough))
         return let(F.array_max(tried), lambda k: F.filter(hs, lambda h: h["order"] <= k))
 
-    return let(hits, until_enough)
+    return hits if enough is None else let(hits, until_enough)
+
 
+def page_links(blocks: DataFrame, base: str = "url", per_selector: int | None = HITS_PER_SELECTOR,
+               enough: int | None = ENOUGH_LINKS) -> DataFrame:
+    """One row per link of a listing page: page columns, link_pos, title, link, date (X11).
 
-def page_links(blocks: DataFrame, base: str = "url") -> DataFrame:
-    """One row per link of a listing page: page columns, link_pos, title, link, date (X11)."""
+    With ``per_selector`` and ``enough`` None no link is left out; a link that several
+    selectors find is then listed once for each.
+    """
     kept = dom.other_columns(blocks)
+    usual = (per_selector, enough) == (HITS_PER_SELECTOR, ENOUGH_LINKS)
+    hits = link_hits() if usual else link_hits_within(per_selector, enough)
     return (blocks.withColumn("_base", url_parts(F.col(base)))
-            .select(*kept, link_hits().alias("_links"))
+            .select(*kept, hits.alias("_links"))
             .select(*kept, F.posexplode("_links").alias("link_pos", "_link"))
             .select(*kept, "link_pos", F.col("_link.title").alias("link_title"),
                     F.col("_link.url").alias("link_url"), F.col("_link.date").alias("link_date")))

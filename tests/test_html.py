@@ -109,6 +109,18 @@ def test_page_links_stop_after_enough(spark):
     assert not [r for r in rows if r.page_id == 2]
 
 
+def test_page_links_without_limits(spark):
+    many = "".join(f"<a class=title href=/a/{i}>某某项目中标公告第{i:03d}号</a>" for i in range(150))
+    items = "".join(f"<li><a href=/b/{i}>另一个项目成交公告{i:03d}</a></li>" for i in range(30))
+    blocks = pages_of(spark, many + items)
+    usual = [r["link_url"] for r in generic_pages.page_links(blocks).collect()]
+    every = [r["link_url"] for r in generic_pages.page_links(blocks, per_selector=None, enough=None).collect()]
+    assert len(usual) == 100 and usual == every[:100]
+    assert every == [*[f"http://h.example/a/{i}" for i in range(150)], *[f"http://h.example/b/{i}" for i in range(30)]]
+    some = generic_pages.page_links(blocks, per_selector=20, enough=25).collect()
+    assert len(some) == 20 + 20
+
+
 def test_link_date_comes_from_the_item(spark):
     row = generic_pages.page_links(pages_of(
         spark, "<table><tr><td><a href=../z.htm>表格里的一个很长的链接</a><td>2024<b>-01-05</b></tr></table>")).first()
