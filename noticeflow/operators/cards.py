@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.chars import like_text, strip, text_or_empty
+from .cursor import beyond, ordering
 from .dedupe import unseen
 from .sizing import bounded, settled
 
@@ -104,10 +106,11 @@ def exported_cards(c: DataFrame, m: DataFrame, q: str = "") -> DataFrame:
 # ---------------------------------------------------------------- card list
 
 KEY = ["company", "contact_name"]
+CARD_PAGE_ORDER = ("-updated_at", *KEY)
 
 
 def _page_order() -> list[Column]:
-    return [F.desc_nulls_last("updated_at"), *[F.asc(k) for k in KEY]]
+    return ordering(CARD_PAGE_ORDER)
 
 
 def _listed_mentions(m: DataFrame, a: DataFrame | None, role: str, province: str) -> DataFrame:
@@ -132,24 +135,27 @@ def _listed_cards(c: DataFrame, m: DataFrame | None, q: str) -> DataFrame:
 
 
 def card_list(c: DataFrame, m: DataFrame, a: DataFrame | None = None, q: str = "",
-              role: str = "", province: str = "", limit: int = 50, offset: int = 0) -> DataFrame:
+              role: str = "", province: str = "", limit: int = 50, offset: int = 0,
+              cursor: Sequence | None = None) -> DataFrame:
     """One row per (company, contact), recently updated first.
 
     The order depends on cards alone, so the page is cut first, on narrow
     card rows. Mentions are then counted, and phones and e-mails fetched, for
     the cards of the page only. With a role or province the mentions that pass are
     found once and written as pairs of numbers, so the texts of announcements are
-    read once.
+    read once. With a ``cursor`` over ``CARD_PAGE_ORDER`` the page is the one behind that row.
     """
     narrow = m.select("business_card_id", "announcement_id")
     if role or province:
         narrow = settled(_listed_mentions(m, a, role, province).select(*narrow.columns).distinct())
     listed = _listed_cards(c, narrow if role or province else None, q)
+    groups = (listed.groupBy(*KEY)
+              .agg(F.max("id").alias("id"), F.max("created_at").alias("created_at"),
+                   F.max("updated_at").alias("updated_at")))
+    if cursor is not None:
+        groups = groups.filter(beyond(CARD_PAGE_ORDER, cursor))
     page = bounded(limit, settled(
-        listed.groupBy(*KEY)
-        .agg(F.max("id").alias("id"), F.max("created_at").alias("created_at"),
-             F.max("updated_at").alias("updated_at"))
-        .orderBy(*_page_order()).offset(offset).limit(limit)))
+        groups.orderBy(*_page_order()).offset(offset).limit(limit)))
     on_page = c.select("id", *KEY, "phones", "emails").join(page.select(*KEY), KEY)
     ids = on_page.select(F.col("id").alias("business_card_id"), *KEY)
     counts = (narrow.join(ids, "business_card_id")

@@ -1,12 +1,12 @@
 """Exports as partitioned files.
 
-CSV files carry no byte-order mark; spreadsheets and archives are replaced by
-folders of CSV or parquet files.
+Every CSV file begins with a byte-order mark and a header, so that a spreadsheet opens any of
+them alone. Spreadsheets and archives are replaced by folders of CSV or parquet files.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.text import day_of, province_of, truncate_detail
 from ..operators.cards import exported_cards
@@ -14,6 +14,8 @@ from ..operators.contacts import top_contact_companies
 from ..operators.dedupe import distinct_rows
 from ..operators.notices import count_by_source, newest, totals
 
+BYTE_ORDER_MARK = "\ufeff"
+
 # Column headings of the exported sheets.
 NOTICE_HEADINGS = {"publish_date": "发布时间", "title": "标题", "source": "来源", "url": "链接"}
 DETAIL_HEADINGS = {"publish_date": "发布时间", "title": "标题", "content": "详情"}
@@ -25,15 +27,34 @@ CONTACT_COLUMNS = ("company", "contact_name", "phone", "email")
 
 
 def write(df: DataFrame, path: str, fmt: str = "csv", by: str | None = None) -> None:
+    """A folder of files, with a folder for each value of ``by``.
+
+    The mark is the first character of the first heading: Spark writes a header at the head of
+    each file, and quotes only what needs it. Null is written as nothing, '' as two quotes.
+    """
+    if fmt == "csv":
+        first = next(c for c in df.columns if c != by)
+        df = df.withColumnRenamed(first, BYTE_ORDER_MARK + first)
     writer = df.write.mode("overwrite")
     if by:
         writer = writer.partitionBy(by)
     if fmt == "csv":
-        writer.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+        (writer.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+         .option("ignoreTrailingWhiteSpace", False).csv(path))
     else:
         writer.format(fmt).save(path)
 
 
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
+    """An export read back; all columns are text unless a schema is given.
+
+    Only a cell without quotes is null: what stands for null here can be in no file by itself.
+    """
+    reader = (spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("lineSep", "\n").option("nullValue", "\0")
+              .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
+    return (reader if schema is None else reader.schema(schema)).csv(path)
+
+
 def announcement_rows(a: DataFrame) -> DataFrame:
     return a.select(*[c for c in ANNOUNCEMENT_COLUMNS if c in a.columns])
 

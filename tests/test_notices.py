@@ -2,9 +2,10 @@ import random
 from datetime import date
 
 import pytest
+from conftest import plan_of
 from pyspark.sql import functions as F
 
-from noticeflow.operators import dedupe, notices, sizing
+from noticeflow.operators import cursor, dedupe, notices, sizing
 from noticeflow.plans.search import Kind, SearchParams, search_notices
 
 COLUMNS = "id long, title string, content string, url string, publish_date string, source string, ingest_seq long"
@@ -144,6 +145,44 @@ def test_dedupe_either_on_a_chain(spark):
         dedupe.dedupe_either(df, "seq", max_rounds=2)
 
 
+def test_a_long_chain_takes_few_rounds(spark):
+    rows = chain(3000)
+    df = spark.createDataFrame(rows, "seq long, title string, url string")
+    assert sorted(r.seq for r in dedupe.dedupe_either(df, "seq", max_rounds=3).collect()) == list(range(0, 3000, 2))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_chains_that_meet_equal_the_loop(spark, seed):
+    """Sparse graphs: long chains, forks and rings in any order."""
+    rng = random.Random(seed)
+    order = rng.sample(range(300), 300)
+    rows = sorted((o, f"t{(i + 1) // 2}" if rng.random() < .95 else f"t{rng.randint(0, 150)}", f"u{i // 2}") for i, o in enumerate(order))
+    rows += [(300 + i, t, "u" + str(i)) for i, (_, t, _) in enumerate(rows[::7])]
+    df = spark.createDataFrame(rows, "seq long, title string, url string")
+    assert sorted(r.seq for r in dedupe.dedupe_either(df, "seq").collect()) == keep(rows)
+
+
+@pytest.mark.parametrize("limit", [1, 3, 7])
+def test_pages_behind_cursors_equal_the_whole_order(spark, limit):
+    rows = [(i, f"t{i}", f"u{i // 3}", None if i % 5 == 0 else f"2024-01-0{i % 4 + 1}", "s") for i in range(20)]
+    rows += [(99, "x", None, None, "s"), (98, "y", None, "2024-01-01", "s")]
+    a = spark.createDataFrame(rows, "id long, title string, url string, publish_date string, source string")
+    got, at = [], None
+    while part := notices.page_after(a, at, limit).collect():
+        got += [r.id for r in part]
+        at = cursor.cursor_of(part[-1], notices.PAGE_ORDER)
+    assert got == [r.id for r in a.orderBy(*cursor.ordering(notices.PAGE_ORDER)).collect()] and len(got) == 22
+    with pytest.raises(ValueError):
+        notices.page_after(a, ("x",))
+
+
+def test_a_cursor_reaches_the_scan(spark, tmp_path):
+    a = spark.createDataFrame([(1, "t", "u", "2024-01-01", "s")], "id long, title string, url string, publish_date string, source string")
+    a.write.parquet(str(tmp_path / "a"))
+    text = plan_of(notices.page_after(spark.read.parquet(str(tmp_path / "a")), ("2024-01-02", "u", 5)))
+    assert "TakeOrderedAndProject" in text and "LessThan(publish_date,2024-01-02)" in text
+
+
 def test_distinct_rows(spark):
     df = spark.createDataFrame([(1, "a"), (1, "b")], "x int, y string")
     assert dedupe.distinct_rows(df, ["x", "z"]).count() == 1

@@ -129,6 +129,22 @@ def test_export_announcements_and_contacts(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "k")).count() == 1
 
 
+def test_csv_files_open_with_the_mark_and_come_back_whole(spark, tmp_path):
+    texts = ["plain", ' spaced ', 'a "q", b', "two\nlines", "a\r\nb", "c\rd", "", None, "\\", '"', ",", "\t北京"]
+    df = spark.createDataFrame([(t, i) for i, t in enumerate(texts)], "`标题` string, n int").repartition(3)
+    exports.write(df, str(tmp_path / "c"))
+    files = sorted((tmp_path / "c").glob("part-*"))
+    assert len(files) == 3
+    for f in files:
+        assert f.read_bytes().startswith("\ufeff标题,n\n".encode())
+    back = exports.read_csv(spark, str(tmp_path / "c"))
+    assert back.columns == ["标题", "n"]
+    assert [r["标题"] for r in back.orderBy(F.col("n").cast("int")).collect()] == texts
+    exports.write(df.withColumn("day", F.lit("d")).select("day", "标题", "n"), str(tmp_path / "by"), by="day")
+    part, = {f.read_bytes()[:3] for f in (tmp_path / "by" / "day=d").glob("part-*")}
+    assert part == b"\xef\xbb\xbf"
+
+
 def test_export_all(spark, tmp_path):
     a = spark.createDataFrame([note(1), note(2, source="t")], ANNOUNCEMENTS)
     k = spark.createDataFrame([(1, "甲", "李", "1", ""), (2, "", "王", "2", "")], CONTACTS).withColumn("ingest_seq", F.lit(1))

@@ -11,7 +11,7 @@ from noticeflow.operators import cards as card_queries
 from noticeflow.operators import notices
 from noticeflow.plans import ingest as plan
 from noticeflow.plans import statistics
-from noticeflow.schema import CARDS, PAGES
+from noticeflow.schema import ANNOUNCEMENTS, CARDS, PAGES
 from noticeflow.sources import state as stored
 from noticeflow.sources.state import State
 from test_ingest import NOW, notice
@@ -115,3 +115,68 @@ def test_markup_is_read_in_two_passes(spark, tmp_path):
     chosen = plan.new_pages(spark.read.parquet(str(tmp_path / "p")), spark.createDataFrame([], "url string"))
     assert plan_of(chosen).count("html:string") == 1  # the first pass has left short rows in the checkpoint folder
     assert chosen.filter(F.col("contested")).count() == 0 and chosen.count() == 1
+
+
+def laid_rows(spark, rows):
+    now = NOW
+    return spark.createDataFrame(
+        [(i, f"t{i}", f"u{i}", "c", str(day or ""), None if day is None else datetime.fromisoformat(day).date(), s, now, now, i)
+         for i, s, day in rows], ANNOUNCEMENTS)
+
+
+def add(state, rows):
+    n = state.claim()
+    state.stage("announcements", n, rows)
+    state.add_urls(n, rows)
+    state.commit(n)
+    return n
+
+
+def seqs(df):
+    return sorted(r.ingest_seq for r in df.collect())
+
+
+def test_compaction_keeps_all_rows_and_prunes(spark, tmp_path):
+    state = State(spark, str(tmp_path))
+    assert state.compact() is None
+    rows = [(i, "ab"[i % 2], f"2024-0{1 + i % 3}-15") for i in range(12)] + [(12, "", None), (13, None, "2024-01-15")]
+    add(state, laid_rows(spark, rows[:6]))
+    before = state.view()
+    add(state, laid_rows(spark, rows[6:]))
+    assert state.compact() == 2 and state.view().compaction.compacted == {0, 1}
+    add(state, laid_rows(spark, [(20, "a", "2024-01-20")]))
+    view = state.view()
+    assert seqs(view.announcements()) == [*range(14), 20] and seqs(before.announcements()) == [*range(6)]
+    assert sorted(r.source or "-" for r in view.announcements().filter("ingest_seq in (12, 13)").collect()) == ["-", "-"]
+    assert view.announcements().filter("ingest_seq = 12").first().source == ""
+    found = view.announcements("a", "2024-01-01", "2024-01-31")
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(by_source" in text.replace("\n", " ")
+    assert seqs(found) == [0, 6, 20]
+    laid = [p for p in found.inputFiles() if "/compact/" in p]
+    assert laid and seqs(view.announcements(start="2024-03-01")) == [2, 5, 8, 11]
+    assert {r.url for r in view.urls().collect()} == {f"u{i}" for i in [*range(14), 20]}
+    known = view.known_urls(spark.createDataFrame([("u3",), ("u20",), ("z",)], "url string"))
+    assert {"u3", "u20"} <= {r.url for r in known.collect()}
+    assert state.compact() == 4 and seqs(state.announcements()) == [*range(14), 20]
+
+
+def test_a_batch_that_commits_during_a_compaction_is_read(spark, tmp_path):
+    state = State(spark, str(tmp_path))
+    add(state, laid_rows(spark, [(0, "a", "2024-01-01")]))
+    late = state.claim()
+    state.stage("announcements", late, laid_rows(spark, [(1, "a", "2024-01-01")]))
+    state.compact()
+    state.commit(late)
+    assert seqs(state.announcements()) == [0, 1]
+    state.compact()
+    assert seqs(state.announcements()) == [0, 1]
+
+
+def test_statistics_and_cards_survive_a_compaction(filled):
+    before = filled.view()
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    want = [rows(before.all_statistics()), rows(before.mentions()), rows(before.cards()), rows(before.announcements())]
+    filled.compact()
+    after = filled.view()
+    assert [rows(after.all_statistics()), rows(after.mentions()), rows(after.cards()), rows(after.announcements())] == want
