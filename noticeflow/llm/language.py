@@ -5,6 +5,9 @@ A text is cut into segments of neighbouring words; a segment is written in one l
 the shares of the languages are found by expectation-maximisation over the segments. The set
 of languages is chosen by penalised likelihood: languages leave the mixture as long as that
 does not cost more than the penalty for keeping them. The largest share names the text.
+
+Every language that is labelled is learned. Likelihoods take 2 MB for each in the driver and in
+every worker, whatever the size of the corpus.
 """
 
 from __future__ import annotations
@@ -16,10 +19,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrays import LOWER, byte_set, mixed, slices, text_buffers
+from .storage import saved
 
 SIZES = (1, 2, 3, 4)
 BUCKETS = 1 << 17
-MOST_LANGUAGES = 64
+LANGUAGES_AT_ONCE = 16  # whose counts a task holds, and the driver collects, at one time
 SEGMENT = 64
 PENALTY = 2.0  # times log(segments) / 2 for each language kept
 ROUNDS = 12
@@ -102,9 +106,12 @@ class Model:
             total = (scaled * share[owner]).sum(1)
             return share, np.add.reduceat(np.log(np.maximum(total, 1e-300)), cut)
 
-        kept = np.ones((len(cut), k), bool)
         share, best = run(np.full((len(cut), k), 1.0 / k))
         cost = 0.5 * PENALTY * np.log(count + 1.0)
+        # A language that explains less than a quarter of a segment is worth less than its cost.
+        kept = (share * count[:, None] >= 0.25) | (share == share.max(1, keepdims=True))
+        if not kept.all():
+            share, best = run(share * kept / (share * kept).sum(1, keepdims=True))
         for _ in range(k - 1):  # drop the smallest language wherever that pays
             live = kept.sum(1)
             if not (live > 1).any():
@@ -126,49 +133,63 @@ def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def fit(docs: DataFrame, text: str = "text", language: str = "lang",
-        most_languages: int = MOST_LANGUAGES) -> Model:
+def fit(docs: DataFrame, text: str = "text", language: str = "lang") -> Model:
     """Likelihoods from all rows with a text and a language.
 
-    A task adds up its own counts; the driver gets BUCKETS counts for each n-gram size and
-    each of the `most_languages` most frequent languages.
+    A task adds up its own counts, of `LANGUAGES_AT_ONCE` languages before it sends them on; the
+    driver collects BUCKETS counts for each n-gram size of so many languages at a time.
     """
     known = docs.where(F.col(text).isNotNull() & F.col(language).isNotNull()).select(
         F.col(text).alias("text"), F.col(language).alias("lang"))
-    names = sorted(r["lang"] for r in known.groupBy("lang").count()
-                   .orderBy(F.desc("count"), "lang").limit(most_languages).collect())
+    names = sorted(r["lang"] for r in known.select("lang").distinct().collect())  # one row a language
     code = {name: i for i, name in enumerate(names)}
     width = len(SIZES) * BUCKETS
 
     def run(batches):
         counts: dict[int, np.ndarray] = {}
+
+        def sent():
+            for i, c in counts.items():
+                at = np.flatnonzero(c)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(at), i, np.int32)), pa.array(at), pa.array(c[at])],
+                    names=["lang", "gram", "n"])
+            counts.clear()
+
         for batch in slices(batches, "text"):
-            lang = np.array([code.get(x, -1) for x in batch.column("lang").to_pylist()])
+            lang = np.array([code[x] for x in batch.column("lang").to_pylist()])
             grams, row = ngrams(*text_buffers(batch.column("text")))
-            for i in np.unique(lang[lang >= 0]):
+            for i in np.unique(lang):
+                if i not in counts and len(counts) >= LANGUAGES_AT_ONCE:
+                    yield from sent()
                 mine = lang[row] == i
                 for size, bucket in enumerate(grams):
                     part = counts.setdefault(i, np.zeros(width, np.int64))[size * BUCKETS:(size + 1) * BUCKETS]
                     part += np.bincount(bucket[mine], minlength=BUCKETS)
-        for i, c in counts.items():
-            at = np.flatnonzero(c)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(at), i, np.int32)), pa.array(at), pa.array(c[at])],
-                names=["lang", "gram", "n"])
+        yield from sent()
 
-    counts = np.zeros((len(names), width))
+    table = np.zeros((width, len(names)), np.float32)
+    common = np.zeros(width)
     if names:
         found = (known.mapInArrow(run, "lang int, gram long, n long").groupBy("lang", "gram")
-                 .agg(F.sum("n").alias("n")).toArrow())
-        counts[found.column("lang").to_numpy(), found.column("gram").to_numpy()] = found.column("n").to_numpy()
+                 .agg(F.sum("n").alias("n")))
+        if len(names) > LANGUAGES_AT_ONCE:
+            found = saved(found, "language-counts")
+        for begin in range(0, len(names), LANGUAGES_AT_ONCE):
+            part = found if len(names) <= LANGUAGES_AT_ONCE else found.where(
+                F.col("lang").between(begin, begin + LANGUAGES_AT_ONCE - 1))
+            part = part.toArrow()
+            gram, n = part.column("gram").to_numpy(), part.column("n").to_numpy()
+            table[gram, part.column("lang").to_numpy()] = n
+            common += np.bincount(gram, weights=n, minlength=width)
     # Smoothed with the likelihoods of all languages together, so unseen n-grams decide little.
     for size in range(len(SIZES)):
-        part = counts[:, size * BUCKETS:(size + 1) * BUCKETS]
-        common = (part.sum(0) + 0.01) / (part.sum() + 0.01 * BUCKETS)
-        part += 20.0 * common
-        part /= part.sum(1, keepdims=True)
-        np.log(part, out=part)
-    return Model(names, np.ascontiguousarray(counts.T, np.float32))
+        rows = slice(size * BUCKETS, (size + 1) * BUCKETS)
+        shared = (common[rows] + 0.01) / (common[rows].sum() + 0.01 * BUCKETS)
+        for i in range(len(names)):
+            one = table[rows, i] + 20.0 * shared
+            table[rows, i] = np.log(one / one.sum())
+    return Model(names, table)
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", into: str = "lang_pred",
