@@ -177,3 +177,14 @@ def test_first_seen_table_keeps_late_pages(spark, tmp_path, spread_by):
     got = sorted((r.url, r.ingest_seq) for r in spark.read.parquet(out).collect())
     assert got == [("http://n/1", 1), ("http://n/2", 2), ("http://n/3", 4)]
     assert any("rocksdb" in k.lower() for s in query.lastProgress["stateOperators"] for k in s["customMetrics"])
+
+
+def test_stream_dedupe_reads_a_table_of_several_files(spark, tmp_path):
+    from check import rows_of
+
+    from workload.ingest_queries import stream_dedupe
+    rows = [(i, f"{'https' if i % 3 else 'http'}://h.example/{i // 2}", "") for i in range(20)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    df.repartition(3).write.parquet(str(tmp_path / "pages.parquet"))
+    got = stream_dedupe(spark, str(tmp_path))
+    assert rows_of(got.columns, got.collect()) == rows_of(["url"], {(u,) for _, u, _ in rows})

@@ -149,7 +149,8 @@ FROM pages""")
 def stream_dedupe(spark, sf):
     """Every page arrives twice, once without its scheme; the first one passes."""
     schema = table(spark, sf, "pages").schema
-    stream = page_stream(spark, sf, schema, glob="pages.parquet")
+    # A stream takes a single file only by a pattern; this one names the table, a file or a folder of them.
+    stream = page_stream(spark, f"{sf}/pages.parque[t]", schema)
     plain = F.regexp_replace("url", "^http:", "")
     twice = (stream.select("page_id", F.explode(F.array("url", plain)).alias("url"))
              .withColumn("scraped_at", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("page_id"))))
