@@ -162,3 +162,19 @@ def test_text_of_uses_separator(spark):
     b = pages_of(spark, "<p> a <b>b</b>c</p>")
     p = dom.find(dom.els(), dom.tag_is("p"))
     assert b.select(dom.text_of(p, "-").alias("t")).first().t == "a-b-c"
+
+
+def test_pages_are_parsed_in_small_parts(spark):
+    """The blocks of a whole Arrow batch are never held at once, and no page is lost."""
+    df = spark.range(0, 1000, 1, 1).select("id", F.when(F.col("id") == 500, F.repeat(F.lit("<p>x"), 400_000)).when(
+        F.col("id") != 7, F.concat(F.lit("<p>"), F.col("id"))).alias("html"))
+    blocks = html_blocks(df)
+    assert blocks.count() == 1000
+    assert blocks.select(F.sum(F.size("texts"))).first()[0] == 998 + 400_000
+    import pyarrow as pa
+
+    from noticeflow.operators import html_blocks as module
+    batch = pa.RecordBatch.from_pydict({"html": ["x"] * 100 + ["y" * (3 << 20)] + [None] + ["z" * (1 << 19)] * 5})
+    parts = list(module._parts(batch, "html"))
+    assert pa.Table.from_batches(parts).to_pydict() == batch.to_pydict()
+    assert [p.num_rows for p in parts] == [64, 36, 1, 3, 2, 1]
