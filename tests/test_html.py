@@ -178,3 +178,11 @@ def test_pages_are_parsed_in_small_parts(spark):
     parts = list(module._parts(batch, "html"))
     assert pa.Table.from_batches(parts).to_pydict() == batch.to_pydict()
     assert [p.num_rows for p in parts] == [64, 36, 1, 3, 2, 1]
+
+
+def test_contacts_end_with_their_block(spark):
+    rows = generic_pages.generic_contact(pages_of(
+        spark, "<title>Write to a.b@mail.example.com</title><nav>Home</nav><p>1391234<p>5678",
+        "<p>a@<b>mail</b>.example.com<br>next</p>13<i>8</i>12345678<div>9", "<div>x <b>y@z.example</b></div>com")).orderBy("page_id").collect()
+    assert [(r.phone, r.email) for r in rows] == [
+        (None, "a.b@mail.example.com"), ("13812345678", "a@mail.example.com"), (None, "y@z.example")]
