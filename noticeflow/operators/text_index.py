@@ -26,6 +26,8 @@ from .grams import gram_numbers, grams, literal_parts, text_counts
 GRAM = 3
 #: So many of the rarest grams of a search text are looked up.
 LOOKED_UP = 4
+#: Into so many files a bucket of postings is split; those of one gram lie in one file.
+FILES = 8
 
 
 def text_of(columns: Sequence[str]) -> Column:
@@ -57,8 +59,10 @@ class TextIndex:
                   .parquet(f"{self.path}/texts/batch={batch}"))
         found = (grams(stored.withColumn("_text", text_of(self.columns)), self.id, "_text", GRAM)
                  .select("gram", F.col("key").alias(self.id)))
+        # Dealt by hash: ranges would be sampled first, and the grams of all texts made twice for it.
+        part = F.pmod(F.xxhash64("gram"), F.lit(FILES))
         (found.withColumn("block", self._block()).withColumn("bucket", self._bucket(F.col("gram")))
-         .repartitionByRange("bucket", "gram", self.id).sortWithinPartitions("bucket", "gram", self.id)
+         .repartition("bucket", part).sortWithinPartitions("bucket", "gram")
          .write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/batch={batch}"))
         counts = text_counts(self._read("postings", rows.schema[self.id].dataType).filter(F.col("batch") == batch))
         (counts.withColumn("bucket", self._bucket(F.col("gram")))

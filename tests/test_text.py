@@ -98,3 +98,17 @@ def test_like_text(spark):
     assert hits("A%B") == ["a%b"]
     assert hits("\\") == ["c\\d"]
     assert hits("标") == ["招标"]
+
+
+def test_search_text_with_wildcards_is_linear(spark):
+    import time
+
+    from noticeflow.functions.chars import like_text
+    rows = ["", "ab", "aXb", "a\nb", "b a", "A%b", "a.b", "x_y", "ÄB c", "ab ab c\\d", "😀b", None, "[a](b)*"]
+    df = spark.createDataFrame([(r,) for r in rows], "s string")
+    for q in ("%", "_", "__", "a%b", "a_b", "%b%a", "%%a%%b%%", "._", "_b", "ä%C", "\\_", "c\\%", "(_)*", "[a]%*", "a%b%a%c", "_ab"):
+        want = df.select(F.col("s").ilike("%" + q.replace("\\", "\\\\") + "%").alias("m")).collect()
+        assert df.select(like_text(F.col("s"), q).alias("m")).collect() == want, q
+    long = spark.range(1).select(F.repeat(F.lit("license d"), 40_000).alias("s")).cache()
+    t = time.time()
+    assert long.filter(like_text(F.col("s"), "%licens%zz%")).count() == 0 and time.time() - t < 20
