@@ -13,9 +13,9 @@ compared with it; buckets whose nodes are then connected are done, so the pairs
 are at most the rows of the buckets. The first round takes the first few bands alone: they
 connect most of a family, and the buckets of its other bands are then done unseen. The next
 takes all bands that are left. After the rounds, nodes outside the largest class of
-their bucket are compared with all nodes of other classes there, so no link is lost. Pairs
-are made only if the similarity is possible: by their lengths and by parities of their shingles,
-two bounds that no linked pair breaks.
+their bucket are compared with all nodes of other classes there, each pair in one of the
+buckets it shares, so no link is lost. Pairs are made only if the similarity is possible: by
+their lengths and by parities of their shingles, two bounds that no linked pair breaks.
 Classes are connected components over stored tables.
 """
 
@@ -238,6 +238,21 @@ def odd_slots(parity: list[str]):
     return F.expr(" + ".join(f"bit_count({p} ^ {p}_b)" for p in parity))
 
 
+def apart_pairs(rest: DataFrame, side: list, alike) -> DataFrame:
+    """Rows of rest outside the largest class of their bucket with the rows of other classes there, as `side`.
+
+    Two nodes may meet in many buckets: they are paired in the one of the least key, in one order.
+    """
+    size_of = rest.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
+    main = size_of.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
+    keys = rest.groupBy("node").agg(F.collect_list("key").alias("keys"))  # at most one for each band
+    here = saved(rest.join(main, "key").join(keys, "node"), "apart")
+    rep = here.where("label != main").select("key", *side, F.col("keys").alias("keys_b"))
+    once = (((F.col("label") == F.col("main")) | (F.col("node") < F.col("node_b")))
+            & (F.array_min(F.array_intersect("keys", "keys_b")) == F.col("key")))
+    return here.join(rep, "key").where((F.col("label") != F.col("label_b")) & alike & once)
+
+
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE,
             least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS,
             rounds: int = ROUNDS, first_bands: int = FIRST_BANDS) -> DataFrame:
@@ -281,13 +296,10 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: i
             here = rest.where(F.col("band") < first_bands) if turn == 0 and rounds > 1 else rest
             rep = (here.groupBy("key").agg(F.min(F.struct(
                 F.xxhash64("node", F.lit(turn)).alias("h"), *side)).alias("rep")).select("key", "rep.*"))
+            pairs = (here.join(rep, "key").where((F.col("label") != F.col("label_b")) & alike)
+                     .select(*ordered).distinct())
         else:
-            # What is still apart: nodes outside the largest class of their bucket against the others.
-            size_of = rest.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
-            main = size_of.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
-            here = rest
-            rep = rest.join(main, "key").where("label != main").select("key", *side)
-        pairs = here.join(rep, "key").where((F.col("label") != F.col("label_b")) & alike).select(*ordered).distinct()
+            pairs = apart_pairs(rest, side, alike).select(*ordered)
         if checked is not None:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
         pairs = saved(pairs, "pairs")

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from noticeflow.llm import neardup
 
@@ -129,6 +130,16 @@ def test_pairs_of_a_large_family_grow_with_its_texts(spark, monkeypatch):
     assert sum(seen) < 6 * len(texts)
 
 
+def test_nodes_left_apart_are_paired_once_in_however_many_buckets_they_meet(spark):
+    label = {i: 0 if i < 20 else i for i in range(23)}
+    rows = [(i, key, label[i]) for i in range(23) for key in range(8)] + [(0, 9, 0), (22, 9, 22), (1, 10, 0)]
+    rest = spark.createDataFrame(rows, "node long, key long, label long")
+    side = [F.col(c).alias(f"{c}_b") for c in ("node", "label")]
+    got = [tuple(sorted(r)) for r in neardup.apart_pairs(rest, side, F.lit(True)).select("node", "node_b").collect()]
+    assert len(got) == len(set(got))
+    assert set(got) == {(a, b) for b in range(23) for a in range(b) if label[a] != label[b]}
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert neardup.classes(docs).collect() == [] and neardup.deduplicated(docs).collect() == []
