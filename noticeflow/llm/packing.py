@@ -18,6 +18,7 @@ import re
 import zlib
 from collections import defaultdict, deque
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ END_ID = 2
 BUCKET_ROWS = 2_000
 MOST_BUCKETS = 4_096
 SPECIAL = "<|endoftext|>"
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 _tokenizers: dict[str, ByteBpe] = {}
 
@@ -51,17 +52,23 @@ class ByteBpe:
     def __init__(self, folder: str):
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(f"{folder}/byte_bpe_50k.tiktoken", "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.fast = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN,
                                       mergeable_ranks=ranks, special_tokens={})
-        self.full = Tokenizer.from_file(f"{folder}/byte_bpe_50k.json")
+        self.file = f"{folder}/byte_bpe_50k.json"
         self.spaced = np.zeros(max(ranks.values()) + 1, bool)
         self.spaced[[i for b, i in ranks.items() if b.startswith(b" ")]] = True
         self.whole = re.compile(r" (?:\s|\Z)")
 
+    @cached_property
+    def full(self):
+        """The tokenizer file itself: the largest part of a worker, loaded at the first text that needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.file)
+
     def plain(self, text: str) -> np.ndarray:
         return np.array(self.fast.encode_ordinary(text), np.uint32)
 

@@ -91,3 +91,13 @@ def test_pack(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert packing.pack_documents(docs).collect() == []
+
+
+def test_the_tokenizer_file_is_loaded_only_for_texts_with_the_special_token():
+    bpe = packing.ByteBpe(public_tokenizers.path("byte_bpe_50k.json").rsplit("/", 1)[0])
+    texts = ["plain words here", " spaced  text ", ""]
+    assert [ids.tolist() for ids in bpe.encode_batch(texts)] == [reference_ids(t)[:-1] for t in texts]
+    assert "full" not in vars(bpe)
+    special = "a <|endoftext|> b"
+    assert [ids.tolist() for ids in bpe.encode_batch([special])] == [reference_ids(special)[:-1]]
+    assert "full" in vars(bpe)
