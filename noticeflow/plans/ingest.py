@@ -23,6 +23,9 @@ from .statistics import batch_statistics
 # Fixed value.
 INGEST_SOURCE = "ccgp-bxsearch"
 _OPTIONAL = {"list_title": "string", "list_date": "string", "scraped_at": "timestamp"}
+# Markup for one task of the parser, and the least that is dealt out to more tasks.
+TASK_BYTES = 32 << 20
+LEAST_TASK_BYTES = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -51,6 +54,11 @@ def may_be_refused(html: Column) -> Column:
     return contains_any(html, (*REFUSAL_WORDS, "&#"))
 
 
+def parser_tasks(markup: int, cores: int) -> int:
+    """Tasks that parse so many bytes: one for each TASK_BYTES, and no idle cores but for a small batch."""
+    return max(1, -(-markup // TASK_BYTES), min(cores, markup // LEAST_TASK_BYTES))
+
+
 def new_pages(pages: DataFrame, stored: DataFrame | View, seen: Observation | None = None) -> DataFrame:
     """Pages to parse for every unknown url, with the flag ``contested``.
 
@@ -60,11 +68,15 @@ def new_pages(pages: DataFrame, stored: DataFrame | View, seen: Observation | No
     more. Of several copies the first that is not refused is wanted: those are the first copy
     without any wording of a refusal and the earlier ones with it, which only parsing can
     judge. Pages without markup are no copies. ``seen`` counts the pages as they are noted.
+
+    What is wanted is dealt out by its bytes of markup: parsing costs far more than the shuffled
+    bytes tell, by which Spark would join it into one task.
     """
     rows = prepared(pages)
     shared_dir(rows.sparkSession)
     noted = rows.select("url", "ingest_seq", F.coalesce(F.col("html") != "", F.lit(False)).alias("_markup"),
-                        F.coalesce(may_be_refused(F.col("html")), F.lit(False)).alias("_doubt"))
+                        F.coalesce(may_be_refused(F.col("html")), F.lit(False)).alias("_doubt"),
+                        F.octet_length("html").cast("long").alias("_bytes"))
     if seen is not None:
         noted = noted.observe(seen, F.count(F.lit(1)).alias("pages"))
     noted = noted.checkpoint().filter(F.col("url") != "")
@@ -76,8 +88,10 @@ def new_pages(pages: DataFrame, stored: DataFrame | View, seen: Observation | No
     wanted = (noted.filter("_markup").join(fresh, "url")
               .filter((F.col("_copies") == 1) | F.col("_sure").isNull() | (F.col("ingest_seq") == F.col("_sure"))
                       | (F.col("_doubt") & (F.col("ingest_seq") < F.col("_sure"))))
-              .select("url", "ingest_seq", (F.col("_copies") > 1).alias("contested")))
-    return rows.join(wanted, ["url", "ingest_seq"]).select(*rows.columns, "contested")
+              .select("url", "ingest_seq", (F.col("_copies") > 1).alias("contested"), "_bytes"))
+    tasks = parser_tasks(wanted.agg(F.sum("_bytes")).first()[0] or 0, rows.sparkSession.sparkContext.defaultParallelism)
+    return (rows.join(wanted.drop("_bytes"), ["url", "ingest_seq"]).select(*rows.columns, "contested")
+            .repartition(tasks, "url", "ingest_seq"))
 
 
 def first_good(read: DataFrame) -> DataFrame:

@@ -134,6 +134,20 @@ def test_known_pages_never_reach_the_parser(spark, pages):
     assert text.index("MapInArrow") < text.index("LeftAnti")
 
 
+def test_markup_is_dealt_out_by_its_bytes(spark, tmp_path):
+    """Markup that Spark packs into a single small file is parsed by all cores all the same; a short batch by one task."""
+    page = F.concat(F.lit("<p>"), F.repeat(F.lit("x"), 100_000))
+    (spark.range(64).select(F.concat(F.lit("http://n/"), F.col("id").cast("string")).alias("url"), page.alias("html"),
+                            F.col("id").alias("ingest_seq")).coalesce(1).write.parquet(str(tmp_path / "p")))
+    pages, none = spark.read.parquet(str(tmp_path / "p")), spark.createDataFrame([], "url string")
+    chosen = plan.new_pages(pages, none)
+    assert chosen.select(F.spark_partition_id()).distinct().count() == spark.sparkContext.defaultParallelism == 4
+    assert chosen.count() == 64
+    few = plan.new_pages(pages.filter("ingest_seq < 3"), none)
+    assert few.select(F.spark_partition_id()).distinct().count() == 1 and few.count() == 3
+    assert plan.parser_tasks(10 * plan.TASK_BYTES + 1, 4) == 11 and plan.parser_tasks(0, 4) == 1
+
+
 def test_stream_equals_batch(spark, pages, tmp_path):
     whole = State(spark, str(tmp_path / "batch"))
     plan.ingest(pages, whole, now=NOW)
