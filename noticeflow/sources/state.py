@@ -312,8 +312,8 @@ class State:
         return self.spark.read.schema(schema).parquet(f"{self.path}/{name}/batch={batch}")
 
     def stage(self, name: str, batch: int, df: DataFrame, by: str | None = None) -> None:
-        """Write rows of a batch; ``by`` names a column that deals them into folders."""
-        writer = (df if by is None else df.repartition(by)).write.mode("overwrite")
+        """Write rows of a batch; ``by`` names a column that deals them into folders, a large one by several tasks."""
+        writer = (df if by is None else df.hint("rebalance", by)).write.mode("overwrite")
         (writer if by is None else writer.partitionBy(by)).parquet(f"{self.path}/{name}/batch={batch}")
 
     def add_urls(self, batch: int, urls: DataFrame) -> None:

@@ -180,3 +180,16 @@ def test_statistics_and_cards_survive_a_compaction(filled):
     filled.compact()
     after = filled.view()
     assert [rows(after.all_statistics()), rows(after.mentions()), rows(after.cards()), rows(after.announcements())] == want
+
+
+def test_a_large_folder_is_written_by_several_tasks(spark, tmp_path):
+    state, conf = State(spark, str(tmp_path)), "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(conf, "64KB")
+    try:
+        rows = spark.range(200_000).select(F.xxhash64("id").cast("string").alias("key"), F.col("id").alias("count"),
+                                           F.lit("card").alias("kind"))
+        state.stage("statistics", 0, rows, "kind")
+    finally:
+        spark.conf.unset(conf)
+    assert len(list((tmp_path / "statistics" / "batch=0" / "kind=card").glob("*.parquet"))) > 1
+    assert spark.read.parquet(f"{tmp_path}/statistics/batch=0").count() == 200_000
