@@ -143,47 +143,6 @@ def gram_counts(df: DataFrame, text: str, q: int, wanted: Wanted) -> DataFrame:
             .groupBy("gram").agg(F.sum("texts").alias("texts")))
 
 
-def first_and_count(df: DataFrame, key: str, text: str, words: pa.Table, at_type: T.DataType) -> DataFrame:
-    """(key, at, keyword, hits): of the words of a bounded table, the first that a text holds and how many it holds.
-
-    ``words`` has gram, size, at and keyword, in the order of ``at``. A word is compared with
-    the texts that hold its gram; a text stays in its task, and what it holds is counted there.
-    """
-    numbers = words.column("gram").to_numpy().view(np.uint64)
-    order = np.argsort(numbers, kind="stable")
-    unique, starts = np.unique(numbers[order], return_index=True)
-    ends = np.append(starts[1:], len(order))
-    bits = np.zeros(PLACES, bool)
-    bits[_place(unique)] = True
-    sizes = tuple(sorted(set(words.column("size").to_pylist())))
-    keywords = words.column("keyword").to_pylist()
-    ats = words.column("at").combine_chunks()
-
-    def held(t: str) -> list[int]:
-        asked = set()
-        for _, n in _numbers(t, sizes):
-            n = np.unique(n[bits[_place(n)]])
-            at = np.minimum(np.searchsorted(unique, n), len(unique) - 1)
-            for i in at[unique[at] == n]:
-                asked.update(order[starts[i]:ends[i]].tolist())
-        return [w for w in asked if keywords[w] in t]
-
-    def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
-                rows = [(i, h) for i, t in enumerate(part.column("text").to_pylist()) if t for h in [held(t)] if h]
-                first = pa.array([min(h) for _, h in rows], pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("key").take(pa.array([i for i, _ in rows], pa.int64())), ats.take(first),
-                     pa.array([keywords[w] for w in first.to_pylist()], pa.string()),
-                     pa.array([len(h) for _, h in rows], pa.int64())], names=["key", "at", "keyword", "hits"])
-
-    schema = T.StructType([T.StructField("key", df.schema[key].dataType), T.StructField("at", at_type),
-                           T.StructField("keyword", T.StringType()), T.StructField("hits", T.LongType())])
-    return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, schema)
-
-
 def literal_parts(q: str) -> list[str]:
     """The runs of a search text between wildcards, which every match must hold."""
     return [p for p in q.replace("_", "%").split("%") if p]

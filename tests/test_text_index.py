@@ -1,10 +1,11 @@
 import random
 
+import pyarrow as pa
 import pytest
 from conftest import plan_of
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
-from noticeflow.operators import grams, notices
+from noticeflow.operators import contained, grams, notices
 from noticeflow.operators.text_index import TextIndex
 
 PICK = random.Random(7)
@@ -94,3 +95,46 @@ def test_keyword_counts_equal_hits_and_send_no_text(spark, index, block_bytes):
     if block_bytes == 1 << 20:
         assert "Exchange" not in plan_of(got) and "Join" not in plan_of(got)
     assert notices.keyword_table_counts(rows, words.filter("false")).collect() == []
+
+
+def test_keyword_counts_on_random_texts(spark, monkeypatch):
+    """Keywords that begin alike, hold white space, are longer than eight bytes or stand at the edge of a word."""
+    monkeypatch.setattr(contained, "CHUNK", 64)
+    monkeypatch.setattr(contained, "TEXT_BYTES", 300)
+    monkeypatch.setattr(contained, "PAIRS", 50)
+    rng = random.Random(11)
+    parts = ["a", "b", "ab", "abcdefgh", "é", "招标", " ", "\n", "\x1f", "\x85", "　", "\t", "\x00", "İ"]
+    texts = ["".join(rng.choices(parts, k=rng.choice([0, 1, 5, 30, 120]))) for _ in range(150)] + [None, "abcdefgh" * 40]
+    words = list(dict.fromkeys(["".join(rng.choices(parts, k=rng.randint(1, 6))) for _ in range(300)] + ["abcdefgh" * n for n in (2, 3, 30, 41)]))
+    words += words[:3]  # the same keyword at two places counts twice
+    names = [chr(65 + i % 26) + str(i) for i in range(len(words))]
+    table = pa.table({"at": names, "keyword": words}).sort_by("at")
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = contained.first_and_count(rows, "id", "text", table, T.StringType()).collect()
+    want = set()
+    for i, t in enumerate(texts):
+        hits = sorted((n, w) for n, w in zip(names, words) if w in (t or ""))
+        want |= {(i, *hits[0], len(hits))} if hits else set()
+    assert {tuple(r) for r in got} == want and len(got) == len(want) > 100
+    here = [t or "" for t in texts]  # CHUNK and PAIRS hold in this process
+    for wanted, found in (([w for w in words if min(w.encode()) > 32], lambda t, s: contained._within_words(t, s)),
+                          (words, lambda t, s: [s.inside(t.cast(pa.binary()))])):
+        parts = list(found(pa.array(here), contained.Strings([w.encode() for w in wanted])))
+        pairs = [(i, k) for text, string in parts for i, k in zip(text.tolist(), string.tolist())]
+        assert set(pairs) == {(i, k) for i, t in enumerate(here) for k, w in enumerate(wanted) if w in t}
+        assert len(parts) > 5 or wanted is words
+
+
+def test_a_word_is_searched_once_for_all_texts(monkeypatch):
+    """Texts of the same words cost no more comparisons than one of them."""
+    seen, plain = [], contained.Strings.inside
+    monkeypatch.setattr(contained.Strings, "inside", lambda self, texts: seen.append(len(texts)) or plain(self, texts))
+    strings = contained.Strings([b"tion", b"er"])
+    parts = list(contained._within_words(pa.array(["station erste"] * 500), strings))
+    assert seen == [2]
+    assert sum(len(t) for t, _ in parts) == 1000
+
+
+def test_keyword_blocks_hold_neighbouring_lengths():
+    assert notices.keyword_blocks([], 100) == [(0, 0, 1)]
+    assert notices.keyword_blocks([(3, 40), (4, 50), (5, 60), (9, 250), (12, 10)], 100) == [(0, 4, 1), (5, 5, 1), (9, 9, 3), (12, 12, 1)]
